@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import write_table
-from .tokens import encoder
+from .tokens import encoder, together
 
 CAPACITY, END_ID = 4096, 1
 
@@ -179,13 +180,13 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = encoder(tokenizer_path).ids, np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer_path).ids_of, np.array([end_id], dtype="<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), chain.from_iterable(encode(x) for x in together(texts)), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     n = len(piece) // 4

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -10,31 +12,14 @@ import numpy as np
 LONGEST_KEPT = 48
 
 
-class _Pieces(dict):
-    """Two generations: when the younger is full it becomes the older, so frequent pieces stay and memory is bounded."""
-
-    def __init__(self, encode, most: int):
-        super().__init__()
-        self.encode, self.most, self.older = encode, most, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        got = self.older.get(piece)
-        if got is None:
-            got = np.array(self.encode(piece), dtype="<u4").tobytes()
-            if len(piece) > LONGEST_KEPT:
-                return got
-        if len(self) >= self.most // 2:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = got
-        return got
-
-
 class PieceEncoder:
-    """Ids of whole texts for a tokenizer that drops white space.
+    """Ids of whole texts for a tokenizer that drops white space and marks the ends of words.
 
     Such a tokenizer never joins characters across white space, so the ids of a text are those of its
-    pieces between blanks, tabs and line ends, one after the other. ``most`` bounds the cached pieces.
+    pieces between blanks, tabs and line ends, one after the other. A cache of pieces spares most of the
+    work. It has two generations: when the younger is full it becomes the older, so frequent pieces stay
+    and ``most`` bounds the memory. The unknown words of a text are encoded in one call, and told apart
+    by the ends of words.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -42,13 +27,67 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = _Pieces(lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids, most)
+        self.most, self.pieces, self.older, self.using = most, {}, {}, set()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+        self.marks = {c: self._encode(c) for c in ",."}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that have only letters, in lower case too."""
+        if not words:
+            return {}
+        ids = self._encode(" ".join(words))
+        cuts = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1).tolist()
+        if len(cuts) != len(words):
+            return {x: self._encode(x) for x in words}
+        return {x: ids[4 * i : 4 * j] for x, i, j in zip(words, [0, *cuts], cuts, strict=False)}
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Put pieces that the younger generation lacks into it."""
+        if len(self.pieces) >= self.most // 2:
+            self.older, self.pieces = self.pieces, {}
+            pieces = pieces | {x for x in self.using if x not in pieces}
+        known, older, words, marked, odd = self.pieces, self.older, [], [], []
+        for piece in pieces:
+            if piece in older:
+                known[piece] = older[piece]
+            elif piece.isalpha():
+                words.append(piece)
+            elif piece[-1:] in self.marks and piece[:-1].isalpha():
+                marked.append(piece)
+            else:
+                odd.append(piece)
+        words += {x[:-1] for x in marked}.difference(known, words)
+        if not "".join(words).lower().isalpha():  # a few letters become more than letters
+            odd += [x for x in words if not x.lower().isalpha()] + [x for x in marked if not x[:-1].lower().isalpha()]
+            words, marked = [x for x in words if x.lower().isalpha()], [x for x in marked if x[:-1].lower().isalpha()]
+        known.update(self._words(words))
+        for piece in marked:
+            known[piece] = known[piece[:-1]] + self.marks[piece[-1]]
+        for piece in odd:
+            known[piece] = self._encode(piece)
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+        """ids() of some texts, whose unknown pieces are encoded together."""
+        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if x else [] for x in texts]
+        self.using = set(chain.from_iterable(split))
+        if new := self.using.difference(self.pieces):
+            self._learn(new)
+        get = self.pieces.__getitem__
+        got = [b"".join(map(get, x)) for x in split]
+        for piece in new:
+            if len(piece) > LONGEST_KEPT:
+                del self.pieces[piece]
+        return got
 
     def count(self, text: str | None) -> int:
         return len(self.ids(text)) // 4
@@ -62,3 +101,17 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
+
+
+def together(texts: list[str | None], size: int = 1 << 19) -> Iterator[list[str | None]]:
+    """The texts in order, some at a time: until they have ``size`` characters."""
+    held: list[str | None] = []
+    n = 0
+    for text in texts:
+        held.append(text)
+        n += len(text or "")
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
