@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import boilerplate, quality
 from .common import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -27,9 +28,30 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    return quality_rules(documents(spark, sf_dir))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .boilerplate import line_report
+
+    return line_report(documents(spark, sf_dir))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import leaks
+
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_decontamination": op3_decontamination,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_quality": quality.SQL, "op9_line_dedup": boilerplate.SQL}

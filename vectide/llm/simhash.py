@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import parallelism, write_table
 
@@ -200,3 +201,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     table = write_table(linked.join(ids, "root").select("fp", "component_id"), "simhash-ids")
     return fps.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component: that with the smallest doc_id (nulls last); all columns of ``docs``.
+
+    The rows are written with their fingerprint and a number of their own, so that repeated rows can be told apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            got = np.array([fingerprint(x.as_py()) for x in texts], dtype=np.uint64)
+            names = [*batch.schema.names, "__fp", "__row"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got.view(np.int64)), pa.array(np.arange(at, at + batch.num_rows))], names=names)
+            at += batch.num_rows
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType()), T.StructField("__row", T.LongType())])
+    table = write_table(docs.mapInArrow(run, schema), "simhash-docs")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    unique = write_table(table.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("best")), "simhash-unique")
+    roots = components(forest_edges(unique.select("fp"), radius))
+    linked = unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    winners = linked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
+    return table.join(winners, "__row", "left_semi").select(*docs.columns)

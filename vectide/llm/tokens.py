@@ -103,7 +103,7 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def together(texts: list[str | None], size: int = 1 << 19) -> Iterator[list[str | None]]:
+def together(texts: list[str | None], size: int = 1 << 12) -> Iterator[list[str | None]]:
     """The texts in order, some at a time: until they have ``size`` characters."""
     held: list[str | None] = []
     n = 0
