@@ -4,7 +4,7 @@ Numbers, names and units become typed placeholders; windows of ``window`` templa
 up in an index of the benchmark's windows, so that a question with other parameters still matches. Matches are
 verified token by token, then slots are checked: along one alignment of an item, a value of the item must stand
 for one value of the document and the other way round; windows that break this don't count. A document leaks an
-item if the windows left cover ``share`` of the item's template tokens. Items shorter than a window are one
+item if the windows left cover ``share`` of the item's template tokens, or ``enough`` of them. Items shorter than a window are one
 window of their own, from ``shortest`` tokens on; windows made mostly of placeholders aren't indexed.
 
 The index is broadcast in blocks of at most ``block`` windows, so its size is bounded for any benchmark; the
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SHORTEST, SHARE, BLOCK = 8, 4, 0.5, 2_000_000
+WINDOW, SHORTEST, SHARE, ENOUGH, BLOCK = 8, 4, 0.5, 13, 2_000_000
 
 # Words for numbers, and units.
 NUMBER_WORDS = frozenset(
@@ -57,7 +57,7 @@ class _Pieces(dict):
         self.capital, self.end = np.zeros(1024, bool), np.zeros(1024, bool)
         self[""] = self._add(np.uint64(0), False, False)
         self["\n"] = self._add(np.uint64(0), False, True)
-        self["\x00"] = self._add(END, False, True)
+        self[" "] = self._add(END, False, True)  # never a piece
 
     def _add(self, token, capital: bool, end: bool) -> int:
         if self.n == len(self.token):
@@ -106,7 +106,7 @@ def template(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]
                 if blank in text:
                     text = text.replace(blank, " ")
             raw += text.replace("\n", " \n ").split(" ")
-        raw.append("\x00")
+        raw.append(" ")
     codes = np.fromiter(map(pieces.__getitem__, raw), np.int64, len(raw))
     token, capital, end = pieces.token[codes], pieces.capital[codes], pieces.end[codes]
     # a capital makes a name unless a sentence starts there; pieces without a token pass the end of a sentence on
@@ -171,7 +171,7 @@ class Index:
         return self
 
 
-def matches(texts: list[str | None], index: Index, share: float = SHARE) -> list[list[tuple[int | None, int, int, int]]]:
+def matches(texts: list[str | None], index: Index, share: float = SHARE, enough: int = ENOUGH) -> list[list[tuple[int | None, int, int, int]]]:
     """For each text, (item_id, covered tokens, tokens of the item, slots with another value) of each item that it leaks."""
     tokens, at, raw = template(texts)
     ends = np.flatnonzero(tokens == END)
@@ -196,7 +196,7 @@ def matches(texts: list[str | None], index: Index, share: float = SHARE) -> list
         best[text, item] = max(best.get((text, item), (0, 0)), (len(covered), -len(changed)))
     out: list[list[tuple[int | None, int, int, int]]] = [[] for _ in texts]
     for (text, item), (n, c) in best.items():
-        if n >= share * len(index.items[item][1]):
+        if n >= min(enough, share * len(index.items[item][1])):
             out[text].append((index.items[item][0], n, len(index.items[item][1]), -c))
     return [sorted(x, key=lambda m: (m[0] is not None, m[0] or 0, m[1:])) for x in out]
 
@@ -205,7 +205,7 @@ def matches(texts: list[str | None], index: Index, share: float = SHARE) -> list
 TOGETHER = 1 << 20
 
 
-def _each(texts: pa.Array, index: Index, share: float) -> Iterator[list[tuple]]:
+def _each(texts: pa.Array, index: Index, share: float, enough: int) -> Iterator[list[tuple]]:
     """matches() of all texts of a batch, some at a time."""
     held: list[str | None] = []
     size = 0
@@ -213,10 +213,10 @@ def _each(texts: pa.Array, index: Index, share: float) -> Iterator[list[tuple]]:
         held.append(x.as_py())
         size += len(held[-1] or "")
         if size >= TOGETHER:
-            yield from matches(held, index, share)
+            yield from matches(held, index, share, enough)
             held, size = [], 0
     if held:
-        yield from matches(held, index, share)
+        yield from matches(held, index, share, enough)
 
 
 def indexes(benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, block: int = BLOCK) -> Iterator[Index]:
@@ -230,7 +230,7 @@ def indexes(benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST
     yield index.seal()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, **params) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, enough: int = ENOUGH, **params) -> DataFrame:
     """doc_id, item_id, covered, item_tokens, changed_slots: a row for each document and item that it leaks."""
     schema = "doc_id long, item_id long, covered long, item_tokens long, changed_slots long"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -240,7 +240,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, **params)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(d.as_py(), *m) for d, found in zip(batch.column(0), _each(batch.column(1), shared.value, share), strict=True) for m in found]
+                rows = [(d.as_py(), *m) for d, found in zip(batch.column(0), _each(batch.column(1), shared.value, share, enough), strict=True) for m in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=[x.split()[0] for x in schema.split(", ")])
 
         return source.mapInArrow(run, schema)
@@ -248,7 +248,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, **params)
     return reduce(DataFrame.unionAll, map(scan, indexes(benchmark, **params)))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, **params) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, enough: int = ENOUGH, **params) -> DataFrame:
     """The documents that leak no item; all columns of ``docs``. One scan per block of the index, no shuffle."""
 
     def keep(df: DataFrame, index: Index) -> DataFrame:
@@ -257,7 +257,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, *
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text"))
-                yield batch.filter(pa.array([not found for found in _each(texts, shared.value, share)], pa.bool_()))
+                yield batch.filter(pa.array([not found for found in _each(texts, shared.value, share, enough)], pa.bool_()))
 
         return df.mapInArrow(run, df.schema)
 
