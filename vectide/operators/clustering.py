@@ -1,7 +1,7 @@
 """K-means in several metrics, hierarchical k-means and spectral clustering.
 
-Each round is one job: centroids are broadcast (k by d), tasks add up what they assign, and the driver gets a row for
-each cluster and task group. Medians for L1 and Newton steps for chi-square need the members of a cluster; medians
+In each round tasks add up what they assign to the centroids (k by d), and the driver gets the sums; small sets are
+added up on the driver (see rows). Medians for L1 and Newton steps for chi-square need the members of a cluster; medians
 are exact by dimension, Newton steps run on sums that tasks make for the current point.
 """
 
@@ -19,6 +19,7 @@ from vectide.functions import vectors as V
 
 from . import kernels, linalg
 from .neighbours import _side, dense, knn, spread
+from .rows import Rows
 from .tables import sample_rows
 
 METRICS = {"l2": "l2", "l1": "l1", "chi2": "chi2", "cosine": "dot"}
@@ -45,74 +46,43 @@ def _distances(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return -kernels.pairwise(x, c, "dot") if metric == "cosine" else kernels.pairwise(x, c, METRICS[metric])
 
 
-def _round(data: DataFrame, c: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _round(data: Rows, c: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sizes, sums and errors by cluster."""
-    shared = data.sparkSession.sparkContext.broadcast(c)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        n, s, e = np.zeros(len(c)), np.zeros(c.shape), np.zeros(len(c))
-        for batch in batches:
-            if batch.num_rows:
-                x = dense(batch.column(0))
-                dis = _distances(x, c, metric)
-                at = dis.argmin(1)
-                n += np.bincount(at, minlength=len(c))
-                np.add.at(s, at, x)
-                e += np.bincount(at, kernels.exact(x, c[at], "l2") if metric == "l2" else dis[np.arange(len(x)), at], minlength=len(c))
-        flat = np.concatenate((n[:, None], e[:, None], s), 1)
-        offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * flat.shape[1], pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c))), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=["c", "x"])
-
-    parts = data.mapInArrow(run, "c long, x array<double>")
-    added = parts.select("c", F.posexplode("x").alias("pos", "x")).groupBy("c", "pos").agg(F.sum("x").alias("x")).toArrow()  # k * (d + 2) rows
-    out = np.zeros((len(c), c.shape[1] + 2))
-    out[np.asarray(added["c"]), np.asarray(added["pos"])] = np.asarray(added["x"])
-    return out[:, 0], out[:, 2:], out[:, 1]
-
-
-def _medians(data: DataFrame, c: np.ndarray) -> np.ndarray:
-    """Medians of each cluster's members by dimension."""
-    shared = data.sparkSession.sparkContext.broadcast(c)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(_distances(dense(batch.column(0)), shared.value, "l1").argmin(1)), batch.column(0)], names=["c", "v"])
+    def sums(x: np.ndarray) -> np.ndarray:
+        dis = _distances(x, c, metric)
+        at = dis.argmin(1)
+        e = kernels.exact(x, c[at], "l2") if metric == "l2" else dis[np.arange(len(x)), at]
+        s = np.zeros(c.shape)
+        np.add.at(s, at, x)
+        return np.concatenate((np.bincount(at, minlength=len(c)), np.bincount(at, e, minlength=len(c)), s.ravel()))
+
+    flat = data.add_up(sums)
+    k = len(c)
+    return flat[:k], flat[2 * k :].reshape(c.shape), flat[k : 2 * k]
+
 
-    long = data.mapInArrow(run, "c long, v array<double>").select("c", F.posexplode("v").alias("pos", "x"))
-    rows = long.groupBy("c", "pos").agg(F.median("x").alias("m")).collect()  # k * d rows
-    out = c.copy()
-    for r in rows:
-        out[r["c"], r["pos"]] = r["m"]
-    return out
+def _medians(data: Rows, c: np.ndarray) -> np.ndarray:
+    """Medians of each cluster's members by dimension."""
+    return data.medians(lambda x: _distances(x, c, "l1").argmin(1), c)
 
 
-def _chi2(data: DataFrame, c: np.ndarray, start: np.ndarray, steps: int = 25) -> np.ndarray:
-    """Newton steps for all clusters and dimensions at once; a job for each step, with sums from the tasks."""
+def _chi2(data: Rows, c: np.ndarray, start: np.ndarray, steps: int = 25) -> np.ndarray:
+    """Newton steps for all clusters and dimensions at once, with sums over the rows for each step."""
     x = np.maximum(start, 0)
     floor = 1e-4 * np.maximum(x, 1e-12)
     for _ in range(steps):
-        shared = data.sparkSession.sparkContext.broadcast((c, x))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            c, x = shared.value
+        def slopes(a: np.ndarray, x=x) -> np.ndarray:
             d, dd = np.zeros(c.shape), np.zeros(c.shape)
-            for batch in batches:
-                if batch.num_rows:
-                    a = dense(batch.column(0))
-                    at = _distances(a, c, "chi2").argmin(1)
-                    s = x[at] + a
-                    s = np.where(s > 0, s, 1.0)
-                    np.add.at(d, at, (x[at] - a) * (x[at] + 3 * a) / s**2)
-                    np.add.at(dd, at, 8 * a * a / s**3)
-            flat = np.stack((d, dd)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["pos", "x"])
-
-        table = data.mapInArrow(run, "pos long, x double").groupBy("pos").agg(F.sum("x").alias("x")).toArrow()
-        flat = np.zeros(2 * c.size)
-        flat[np.asarray(table["pos"])] = np.asarray(table["x"])
-        d, dd = flat.reshape(2, *c.shape)
+            at = _distances(a, c, "chi2").argmin(1)
+            s = x[at] + a
+            s = np.where(s > 0, s, 1.0)
+            np.add.at(d, at, (x[at] - a) * (x[at] + 3 * a) / s**2)
+            np.add.at(dd, at, 8 * a * a / s**3)
+            return np.stack((d, dd)).ravel()
+
+        d, dd = data.add_up(slopes).reshape(2, *c.shape)
         new = x - np.divide(d, dd, out=np.zeros_like(d), where=dd > 0)
         new = np.where(new < 0, x / 2, new)
         moved = np.abs(new - x) > floor
@@ -172,7 +142,7 @@ def kmeans(df: DataFrame, k: int, metric: str = "l2", rounds: int = 30, init="ha
     init: "first" (the smallest keys), "hash" (rows fixed by key and seed), "plusplus", or k given centroids.
     ``errors`` and ``sizes`` refer to the centroids before the last update, as they are measured on assignment.
     """
-    data = spread(df.select(V.doubles(v).alias("v")))
+    data = Rows(df, v)
     best: KMeans | None = None
     for run in range(redo if isinstance(init, str) else 1):
         rng = np.random.default_rng(seed + run)

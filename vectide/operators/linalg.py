@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vectide.functions import vectors as V
 
 from .neighbours import dense, spread
+from .rows import Rows
 
 
 def random_orthogonal(d: int, seed: int = 0) -> np.ndarray:
@@ -58,25 +59,10 @@ class Moments:
 
 
 def moments(df: DataFrame, v: str = "v") -> Moments:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, gram = 0, None, None
-        for batch in batches:
-            if batch.num_rows:
-                x = dense(batch.column(0))
-                total = x.sum(0) if total is None else total + x.sum(0)
-                gram = x.T @ x if gram is None else gram + x.T @ x
-                n += len(x)
-        if n:
-            flat = np.concatenate(([n], total, gram.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["pos", "x"])
-
-    parts = spread(df.select(V.doubles(v).alias("v"))).mapInArrow(run, "pos long, x double")
-    table = parts.groupBy("pos").agg(F.sum("x").alias("x")).toArrow()  # 1 + d + d * d rows
-    flat = np.zeros(table.num_rows)
-    flat[np.asarray(table["pos"])] = np.asarray(table["x"])
-    if not len(flat):
+    flat = Rows(df, v).add_up(lambda x: np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel())))
+    if not len(flat) or not flat[0]:
         raise ValueError("no vectors")
-    d = int(((4 * len(flat) - 3) ** 0.5 - 1) / 2 + 0.5)
+    d = int(((4 * len(flat) - 3) ** 0.5 - 1) / 2 + 0.5)  # 1 + d + d * d numbers
     return Moments(int(flat[0]), flat[1 : d + 1], flat[d + 1 :].reshape(d, d))
 
 

@@ -14,6 +14,7 @@ from vectide.functions import vectors as V
 
 from . import clustering
 from .neighbours import dense, spread
+from .rows import Rows
 
 #: Terms of a softmax this far below the greatest (in nats) are zero.
 CUT = 16.636
@@ -62,23 +63,15 @@ class Mixture:
         return spread(df.select(F.col(key).cast("bigint").alias("id"), V.doubles(v).alias("v"))).mapInArrow(run, "id long, p array<double>")
 
 
-def _statistics(data: DataFrame, g: Mixture) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+def _statistics(data: Rows, g: Mixture) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
     """Sums of p, p x and p x^2 by component, the log likelihood and n."""
-    shared = data.sparkSession.sparkContext.broadcast(g)
     k, d = g.mu.shape
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = np.zeros(k + 2 * k * d + 2)
-        for batch in batches:
-            if batch.num_rows:
-                x = dense(batch.column(0))
-                p, log = shared.value.posteriors(x)
-                flat += np.concatenate((p.sum(0), (p.T @ x).ravel(), (p.T @ (x * x)).ravel(), [log.sum(), len(x)]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["pos", "x"])
-
-    table = data.mapInArrow(run, "pos long, x double").groupBy("pos").agg(F.sum("x").alias("x")).toArrow()
-    flat = np.zeros(k + 2 * k * d + 2)
-    flat[np.asarray(table["pos"])] = np.asarray(table["x"])
+    def sums(x: np.ndarray) -> np.ndarray:
+        p, log = g.posteriors(x)
+        return np.concatenate((p.sum(0), (p.T @ x).ravel(), (p.T @ (x * x)).ravel(), [log.sum(), len(x)]))
+
+    flat = data.add_up(sums)
     return flat[:k], flat[k : k + k * d].reshape(k, d), flat[k + k * d : -2].reshape(k, d), float(flat[-2]), int(flat[-1])
 
 
@@ -103,7 +96,7 @@ def fit(df: DataFrame, k: int, rounds: int = 20, weights: bool = True, one_sigma
     """Starts from k-means (or given centroids): variances are its mean error, weights equal."""
     model = clustering.kmeans(df, k, rounds=20, init=init, seed=seed, key=key, v=v) if isinstance(init, str) else clustering.kmeans(df, k, rounds=1, init=init, key=key, v=v)
     mu = model.centroids if isinstance(init, str) else np.array(init, dtype=np.float64)
-    data = spread(df.select(V.doubles(v).alias("v")))
+    data = Rows(df, v)
     d = mu.shape[1]
     g = Mixture(np.full(k, 1 / k), mu.copy(), np.full(mu.shape, max(model.errors[-1] / d, FLOOR)))
     for _ in range(rounds):
