@@ -124,7 +124,9 @@ class VectorReader(DataSourceReader):
             out += [Part(path, i, min(i + step, last), d) for i in range(first, last, step)]
         return out
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no records
+            return
         if self.kind == "sparse":
             yield from self._sparse(part.path)
             return
