@@ -77,14 +77,14 @@ def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
     return of(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def minimizers(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start in ``data`` (texts that end at ``ends``): the smallest hash, 0 where no window fits its text;
-    and the hashes of all strings that are smallest in some window, in order."""
+def minimizers(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all strings of ``gram`` bytes in ``data`` (texts that end at ``ends``); for each window start the smallest
+    one, 0 where no window fits its text; and the places of those that are smallest in some window."""
     width = length - gram + 1
     h = _gram_hashes(data, gram)
     least = _sliding(h, width, np.minimum)
     if not len(least):
-        return least, least
+        return h, least, np.zeros(0, np.int64)
     starts = np.concatenate(([0], ends[:-1]))
     mark = np.zeros(len(data) + 1, np.int32)  # a window must start at or before its text's end - length
     fits = ends - starts >= length
@@ -92,7 +92,18 @@ def minimizers(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: i
     np.add.at(mark, ends[fits] - length + 1, -1)
     least = np.where(np.cumsum(mark)[: len(least)] > 0, least, np.uint64(0))
     pad = np.zeros(width - 1, np.uint64)
-    return least, np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), width, np.maximum) == h)
+    return h, least, np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), width, np.maximum) == h)
+
+
+def _per_text(h: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct smallest hashes of each text: number of the text, hash, how many places have it."""
+    doc = np.searchsorted(ends, at, "right")
+    order = np.lexsort((h[at], doc))
+    m, doc = h[at][order], doc[order]
+    new = np.ones(len(m), bool)
+    new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
+    heads = np.flatnonzero(new)
+    return doc[heads], m[heads], np.diff(np.append(heads, len(m)))
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -114,29 +125,24 @@ def _hash_places(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             t = np.asarray(batch.column(0))
             for a, b, data, ends in _texts(batch, 1):
-                h = _gram_hashes(data, gram)
-                at = minimizers(data, ends, length, gram)[1]
-                doc = np.searchsorted(ends, at, "right")
-                order = np.lexsort((h[at], doc))
-                m, doc = h[at][order], doc[order]
-                new = np.ones(len(m), bool)
-                new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
-                heads = np.flatnonzero(new)
-                n = np.diff(np.append(heads, len(m)))
-                yield pa.RecordBatch.from_arrays([pa.array(t[a:b][doc[heads]]), pa.array(m[heads].view(np.int64)), pa.array(n > 1)], names=["t", "m", "twice"])
+                h, _, at = minimizers(data, ends, length, gram)
+                doc, m, n = _per_text(h, at, ends)
+                yield pa.RecordBatch.from_arrays([pa.array(t[a:b][doc]), pa.array(m.view(np.int64)), pa.array(n > 1)], names=["t", "m", "twice"])
 
     return docs.select("t", "data").mapInArrow(run, "t long, m long, twice boolean")
 
 
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """m, d, t, start, run: maximal runs of windows with one of the hashes in ``wanted``."""
+    """m, d, t, start, run, twice: maximal runs of windows with one of the hashes in ``wanted``; whether the text has m in two places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             wanted = batch.column(3)
             for a, b, data, ends in _texts(batch, 2):
-                least = minimizers(data, ends, length, gram)[0]
+                h, least, at = minimizers(data, ends, length, gram)
+                again, hash_, n = _per_text(h, at, ends)
+                again, hash_ = again[n > 1], hash_[n > 1]
                 cut = np.flatnonzero(np.diff(least, prepend=np.uint64(0)) != 0)
                 # a run stops at the end of its text
                 starts = np.concatenate(([0], ends[:-1]))
@@ -144,19 +150,23 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 stop = np.append(cut[1:], len(least))
                 doc = np.searchsorted(ends, cut, "right")
                 m = least[cut]
-                keep = np.zeros(len(cut), bool)
+                keep, twice = np.zeros(len(cut), bool), np.zeros(len(cut), bool)
                 for i in np.unique(doc):
                     rows = slice(*np.searchsorted(doc, (i, i + 1)))
                     keep[rows] = np.isin(m[rows], np.asarray(wanted[a + int(i)].values).view(np.uint64))
+                    own = slice(*np.searchsorted(again, (i, i + 1)))
+                    if own.stop > own.start:
+                        twice[rows] = np.isin(m[rows], hash_[own])
                 keep &= m != 0
-                cut, stop, doc, m = cut[keep], stop[keep], doc[keep], m[keep]
+                cut, stop, doc, m, twice = cut[keep], stop[keep], doc[keep], m[keep], twice[keep]
                 raw = data.tobytes()
                 parts = [raw[x : y + length - 1] for x, y in zip(cut.tolist(), stop.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(m.view(np.int64)), pa.array(d[a:b][doc]), pa.array(t[a:b][doc]), pa.array(cut - starts[doc]), pa.array(parts, pa.binary())], names=["m", "d", "t", "start", "run"]
+                    [pa.array(m.view(np.int64)), pa.array(d[a:b][doc]), pa.array(t[a:b][doc]), pa.array(cut - starts[doc]), pa.array(parts, pa.binary()), pa.array(twice)],
+                    names=["m", "d", "t", "start", "run", "twice"],
                 )
 
-    return docs.select("d", "t", "data", "wanted").mapInArrow(run, "m long, d long, t long, start long, run binary")
+    return docs.select("d", "t", "data", "wanted").mapInArrow(run, "m long, d long, t long, start long, run binary, twice boolean")
 
 
 @lru_cache(4)
@@ -276,6 +286,7 @@ def _sorted_blocks(members: DataFrame, length: int, v: int) -> DataFrame:
         size = 0
 
         def sort() -> pa.RecordBatch:
+            held[:] = {r[1:4]: r for r in held}.values()  # repeated rows of a document are one
             d, t, start = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 3))
             return _span_batch([(int(d[i]), int(t[i]), int(start[i]) + a, int(start[i]) + b) for i, a, b in repeated_in_block(d, t, start, [r[4] for r in held], length, v)])
 
@@ -320,13 +331,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, v: i
     runs = write_table(_runs(docs.join(chosen, ["t", "d"]), length, gram).withColumn("h", F.xxhash64("run")).withColumn("size", F.octet_length("run")), "suffix-runs")
     earliest = runs.groupBy("m", "h", "size").agg(F.min(F.struct("d", "t", "start")).alias("first"))
     is_first = F.struct("d", "t", "start") == F.col("first")
-    placed = runs.join(earliest, ["m", "h", "size"]).select("m", "d", "t", "start", "size", is_first.alias("is_first"), F.when(is_first, F.col("run")).alias("run"))
+    placed = runs.join(earliest, ["m", "h", "size"]).select("m", "d", "t", "start", "size", "twice", is_first.alias("is_first"), F.when(is_first, F.col("run")).alias("run"))
     placed = write_table(placed, "suffix-first")
-    members = placed.where("is_first").select("m", "d", "t", "start", "run").distinct()
-    large = write_table(placed.where("is_first").groupBy("m").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("m"), "suffix-hot")
+    members = placed.where("is_first").select("m", "d", "t", "start", "run")
+    # a bucket with one run has repeats only if its hash is there twice
+    buckets = write_table(placed.where("is_first").groupBy("m").agg(F.count("*").alias("k"), F.max("twice").alias("twice")).where("k > 1 OR twice").select("m", "k"), "suffix-buckets")
     whole = docs.join(copies.withColumnRenamed("d", "d0"), ["t", "n"]).where("d > d0").select("d", "t", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
     equal = placed.where(~F.col("is_first")).select("d", "t", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    return whole.union(equal).union(_sorted_blocks(members.join(large, "m", "left_anti"), length, v)).union(_by_hash(members.join(large, "m", "left_semi"), length))
+    of = lambda p: members.join(buckets.where(p).select("m"), "m", "left_semi")
+    return whole.union(equal).union(_sorted_blocks(of(F.col("k") <= hot), length, v)).union(_by_hash(of(F.col("k") > hot), length))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
