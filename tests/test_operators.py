@@ -62,8 +62,10 @@ def test_range_join_plans_agree(spark):
     for radius in (0, 3, 5, 40, 128):
         want = sorted((i, j, int(d[i, j])) for i, j in zip(*np.nonzero(d <= radius), strict=True))
         assert sorted(map(tuple, hamming.range_join(df, df, radius).collect())) == want
+        keyed = df.withColumn("key", F.col("id") % 3)
+        assert sorted((r["qid"], r["bid"], r["score"]) for r in hamming.range_join(keyed, keyed, radius, on="key").collect()) == [x for x in want if (x[0] - x[1]) % 3 == 0]
         assert hamming.self_join(df, radius).count() == sum(i < j for i, j, _ in want)
-    assert hamming.distances(df, df).count() == len(m) ** 2
+    assert hamming.distances(df, df).count() == len(m) ** 2 and hamming.range_join(df, df, -1).count() == 0
 
 
 def test_kmeans_properties(spark, points):

@@ -40,23 +40,28 @@ def _bits(code: Column, first: int, n: int) -> Column:
     return F.concat_ws(",", *[p.cast("string") for p in parts]) if len(parts) > 1 else parts[0].cast("string")
 
 
-def range_join(a: DataFrame, b: DataFrame, radius: int, aid: str = "id", acode: str = "code", bid: str = "id", bcode: str = "code", limit: int = LIMIT) -> DataFrame:
-    """qid, bid, score for all pairs with at most ``radius`` differing bits."""
+def range_join(a: DataFrame, b: DataFrame, radius: int, aid: str = "id", acode: str = "code", bid: str = "id", bcode: str = "code", limit: int = LIMIT, on: str | None = None) -> DataFrame:
+    """qid, bid, score for all pairs with at most ``radius`` differing bits; and equal values of ``on``, which then comes along."""
     words = _words(a, acode)
     bits = 64 * words
+    keys = [on] if on else []
     if radius < 0:
-        return a.sparkSession.createDataFrame([], "qid long, bid long, score long")
+        return a.where("false").select(F.col(aid).cast("bigint").alias("qid"), F.lit(0).cast("bigint").alias("bid"), *keys, F.lit(0).cast("bigint").alias("score"))
     if bits // (radius + 1) < LEAST_BITS:
-        return _compared(a, b, radius, aid, acode, bid, bcode, limit)
+        if not on:
+            return _compared(a, b, radius, aid, acode, bid, bcode, limit)
+        x = a.select(on, F.col(aid).cast("bigint").alias("qid"), F.col(acode).alias("__a"))
+        y = b.select(on, F.col(bid).cast("bigint").alias("bid"), F.col(bcode).alias("__b"))
+        return x.join(y, on).withColumn("score", V.hamming("__a", "__b")).where(F.col("score") <= radius).select("qid", "bid", on, "score")
     n = radius + 1
     cuts = [bits * i // n for i in range(n + 1)]
     band = lambda code: F.array(*[F.struct(F.lit(i).alias("band"), _bits(F.col(code), cuts[i], cuts[i + 1] - cuts[i]).alias("bits")) for i in range(n)])
-    x = a.select(F.col(aid).cast("bigint").alias("qid"), F.col(acode).alias("__a"), F.explode(band(acode)).alias("k")).select("qid", "__a", "k.*")
-    y = b.select(F.col(bid).cast("bigint").alias("bid"), F.col(bcode).alias("__b"), F.explode(band(bcode)).alias("k")).select("bid", "__b", "k.*")
+    x = a.select(F.col(aid).cast("bigint").alias("qid"), F.col(acode).alias("__a"), F.explode(band(acode)).alias("k"), *keys).select("qid", "__a", "k.*", *keys)
+    y = b.select(F.col(bid).cast("bigint").alias("bid"), F.col(bcode).alias("__b"), F.explode(band(bcode)).alias("k"), *keys).select("bid", "__b", "k.*", *keys)
     equal = lambda i: _bits(F.col("__a"), cuts[i], cuts[i + 1] - cuts[i]) == _bits(F.col("__b"), cuts[i], cuts[i + 1] - cuts[i])
     before = reduce(lambda p, i: p | (equal(i) & (F.col("band") > i)), range(n - 1), F.lit(False))
-    met = x.join(y, ["band", "bits"]).withColumn("score", V.hamming("__a", "__b"))
-    return met.where((F.col("score") <= radius) & ~before).select("qid", "bid", "score")
+    met = x.join(y, ["band", "bits", *keys]).withColumn("score", V.hamming("__a", "__b"))
+    return met.where((F.col("score") <= radius) & ~before).select("qid", "bid", *keys, "score")
 
 
 def _compared(a, b, radius, aid, acode, bid, bcode, limit) -> DataFrame:

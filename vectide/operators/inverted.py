@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
 
-from . import clustering, linalg
+from . import clustering, hamming, linalg
 from .neighbours import nearest
 
 
@@ -53,9 +53,7 @@ class InvertedFile:
 
     def probe(self, queries: DataFrame, radius: int) -> DataFrame:
         """qid, bid, key, score for queries (qid, key, code) and entries of their key within ``radius`` bits."""
-        q = queries.select("qid", "key", F.col("code").alias("__q"))
-        met = q.join(self.table, "key").withColumn("score", V.hamming("__q", "code"))
-        return met.where(F.col("score") <= radius).select("qid", F.col("id").alias("bid"), "key", "score")
+        return hamming.range_join(queries, self.table, radius, aid="qid", on="key").select("qid", "bid", "key", "score")
 
     def probe_weighted(self, queries: DataFrame, radius: int, score_map: list[float] | None = None, list_weights: DataFrame | None = None) -> DataFrame:
         """The same with score = score_map[bits] * weight of the list (key, w); by default the bits and 1."""
@@ -68,11 +66,8 @@ class InvertedFile:
 
     def crossmatches(self, radius: int, symmetric: bool = False) -> DataFrame:
         """key, aid, bid, score within each list: a before b, or both ways and with itself."""
-        a = self.table.select("key", F.col("id").alias("aid"), F.col("code").alias("__a"))
-        b = self.table.select("key", F.col("id").alias("bid"), F.col("code").alias("__b"))
-        met = a.join(b, "key")
-        met = met if symmetric else met.where("aid < bid")
-        return met.withColumn("score", V.hamming("__a", "__b")).where(F.col("score") <= radius).select("key", "aid", "bid", "score")
+        met = hamming.range_join(self.table, self.table, radius, on="key").withColumnRenamed("qid", "aid")
+        return (met if symmetric else met.where("aid < bid")).select("key", "aid", "bid", "score")
 
 
 def falling_scores(radius: int) -> list[float]:
