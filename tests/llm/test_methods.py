@@ -1,0 +1,312 @@
+"""The methods themselves: against SQL, brute force, exact round trips or held-out accuracy."""
+
+import random
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from llm_cases import PROSE
+from pyspark.sql import functions as F
+from vectide.llm import boilerplate, chat, decontam, licenses, packing, quality, secret_scan, simhash, suffixes, textlines, url_filter
+from vectide.llm.queries import ORACLES, QUERIES, tokenizer_path
+from vectide.llm.tokens import PieceEncoder
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    c = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return c
+
+
+def as_rows(columns, data):
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return Counter(tuple(r[i] for i in order) for r in data)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, duck, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir)
+    result = duck.execute(ORACLES[name])
+    columns = [x[0] for x in result.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert as_rows(got.columns, map(tuple, got.collect())) == as_rows(columns, result.fetchall())
+
+
+# --- 1
+
+
+def test_propagation_equals_matrix_powers(spark):
+    links = [("a", "b", 2), ("b", "c", 1), ("a", "c", 1), ("d", "c", 3), ("c", "a", 1)]
+    seeds = [("a", 1.0, 0.0), ("b", 0.25, 0.5), ("c", 0.0, 1.0), ("d", 0.0, 0.0), ("e", 0.0, 0.0)]
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(spark.createDataFrame(seeds, "host string, trust double, distrust double"), spark.createDataFrame(links, "src string, dst string, n long")).collect()}
+    names = "abcde"
+    w = np.zeros((5, 5))
+    for s, d, n in links:
+        w[names.index(s), names.index(d)] += n
+    for k, m in ((1, w), (2, w.T)):
+        p = m / np.maximum(m.sum(1, keepdims=True), 1)
+        s = np.array([x[k] for x in seeds])
+        x = s
+        for _ in range(url_filter.ROUNDS):
+            x = s + url_filter.DAMPING * p.T @ x
+        for i, h in enumerate(names):
+            assert got.get(h, (0, 0))[k - 1] == pytest.approx(x[i])
+
+
+def test_links_are_read_and_judged(spark):
+    bad = [(i, f"http://bad.org/es/{i}", None) for i in range(3)]
+    rows = [*bad, (10, "http://near.info/x", '<a HREF="http://BAD.org/es/1">'), (11, "http://far.info/x", "<a href='//good.com/'> <a href=/local>"), (12, "http://bad.org/other", None)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 10: "block", 11: "allow", 12: "block"}
+
+
+# --- 2
+
+
+@pytest.mark.parametrize("seed", range(16))
+def test_plans_are_tight(seed):
+    rng = random.Random(seed)
+    counts = Counter(min(4096, max(1, int(rng.lognormvariate(6, 1.2)))) for _ in range(rng.choice((50, 3000))))
+    counts[rng.randint(1, 4096)] += rng.choice((0, 5000))
+    plan = packing.plan_sequences(dict(counts))
+    used = Counter()
+    for n, items in plan:
+        assert n > 0 and sum(items) <= 4096
+        for x in items:
+            used[x] += n
+    assert used == +counts
+    gaps: list[int] = []
+    plain = 0
+    for x in sorted(counts.elements(), reverse=True):  # plain best fit, decreasing
+        at = bisect_left(gaps, x)
+        if at < len(gaps):
+            insort(gaps, gaps.pop(at) - x)
+        else:
+            insort(gaps, 4096 - x)
+            plain += 1
+    n = sum(n for n, _ in plan)
+    assert n <= plain and n >= -(-sum(x * k for x, k in counts.items()) // 4096)
+
+
+def test_encoder_equals_the_tokenizer():
+    rng = random.Random(1)
+    odd = [" ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", " ", "́", "e", "é", "İ", "K", "'s", "<|endoftext|>", "9", "漢", "\U0001f44d", "_", "A", "​", "word", ",", "."]
+    encoder = PieceEncoder(tokenizer_path(), most=40)
+    for _ in range(3000):
+        text = "".join(rng.choice(odd) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.pieces) + len(encoder.older) <= 40 + 16
+
+
+# --- 3
+
+QUESTION = "If Anna has 12 apples in 3 baskets and eats 4 apples each day, after how many days will Anna have no apples left in the 3 baskets?"
+
+
+def leak(text, items=((7, QUESTION),), **kw):
+    index = decontam.Index()
+    for i, x in items:
+        index.add(i, x, decontam.WINDOW, decontam.SHORTEST)
+    return decontam.matches(["filler words here", text, None, "more filler"], index.seal(), **kw)[1]
+
+
+def test_templates_catch_other_parameters():
+    assert leak("Some page. " + QUESTION + " Ads.") == [(7, 28, 28, 0)]
+    other = QUESTION.replace("Anna", "Boris").replace("12", "60").replace("3 ", "5 ").replace(" 4 ", " 2 ")
+    found = leak(other)
+    assert found and found[0][0] == 7 and found[0][3] > 0
+    assert leak(QUESTION.lower().replace(",", " ;"))
+    # a slot that stands for two values isn't the same question
+    broken = other.replace("5 baskets?", "6 baskets?")
+    assert leak(broken)[0][1] < found[0][1]
+    assert not leak("entirely different prose about apples and baskets and days that has nothing in common with it")
+    assert not leak("")
+
+
+def test_matches_equal_brute_force():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(6)] + ["7", "km", "Zoe"]
+    for _ in range(60):
+        items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 20)))) for i in range(4)]
+        text = " ".join([*(rng.choice(words) for _ in range(5)), items[0][1], *(rng.choice(words) for _ in range(5))])
+        index = decontam.Index()
+        for i, x in items:
+            index.add(i, x, 8, 4)
+        found = {m[0] for m in decontam.matches([text], index.seal())[0]}
+        own, _, _ = decontam.template([text])
+        for i, tokens, _ in index.items:
+            size = min(8, len(tokens))
+            hits = any(np.array_equal(own[p : p + size], tokens[q : q + size]) for p in range(len(own) - size) for q in range(len(tokens) - size + 1))
+            assert hits or i not in found
+        if len(items[0][1].split()) >= 4 and len(index.items[0][1]) and index.items[0][0] == 0 and any(w[2] == 0 for w in index.windows):
+            plain = not any(x in ("7", "km", "Zoe") for x in items[0][1].split())
+            assert not plain or 0 in found
+
+
+def test_blocks_of_the_index_agree(spark, sf_dir):
+    docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    a, b = (Counter(map(tuple, decontam.leaks(docs, bench, **kw).collect())) for kw in ({}, {"block": 200}))
+    assert a == b and a
+    kept = {r["doc_id"] for r in decontam.decontaminate(docs, bench, block=200).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} - {x[0] for x in a}
+
+
+# --- 4
+
+
+def test_windows_keep_budget_history_and_targets():
+    rng = random.Random(2)
+    for _ in range(200):
+        turns = [chat.Turn("system", "s", rng.randint(1, 30))] * rng.randint(0, 1)
+        turns += [chat.Turn(rng.choice(("user", "assistant")), f"t{i}", rng.randint(1, 60)) for i in range(rng.randint(0, 30))]
+        got = list(chat.windows(iter(turns), 100, 40))
+        assert sum(len(chat.read_back(w.text)) - w.repeated for w in got) == len(turns)
+        said = []
+        for k, w in enumerate(got):
+            back = chat.read_back(w.text)
+            assert w.tokens <= 100 or len(back) - w.repeated == 1
+            if turns and turns[0].role == "system":
+                assert back[0] == ("system", "s")
+            assert (k == 0) == (w.repeated == 0) or not w.repeated
+            said += [w.text[a:b] for a, b in w.loss]
+        assert said == [t.text for t in turns if t.role == "assistant"]
+
+
+def test_escaping_is_reversible():
+    rng = random.Random(3)
+    parts = [*chat.CONTROLS, "\\", "<", "[", "s>", "/INST]", "x", "\n"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))
+        assert chat.unescape(chat.escape(text)) == text and not any(c in chat.escape(text) for c in chat.CONTROLS)
+        assert chat.read_back(chat._window([], [chat.Turn(text, text, 1)] * 2, "x").text) == [(text, text)] * 2
+
+
+# --- 5
+
+
+def test_license_texts(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"
+    first, second = mit.split("\n\n")
+    rows = [(1, mit), (2, second + "\n\n" + first), (3, "Prose first. Released under the MIT License."), (4, "no such words"), (5, "x\nAll rights reserved.\nLicensed under CC BY-NC 4.0.\ny")]
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "MIT"), (3, "MIT"), (5, "Proprietary"), (5, "CC-BY-NC-4.0")}
+
+
+# --- 6 and 9
+
+
+def site(i):
+    return " ".join(f"own{i}x{j}" for j in range(40)) + "\n" + " ".join(f"more{i}x{j}" for j in range(45))
+
+
+def test_frequent_lines_go_and_copies_stay(spark):
+    common = "Click here to accept all of our cookies"
+    rows = [(i, site(i) + "\n" + common.upper() * (i % 2) + common * (1 - i % 2), "host") for i in range(100)]
+    rows += [(1000 + i, PROSE, "host") for i in range(300)]  # copies count once
+    rows += [(2000 + i, "\n".join([common] * 12 + [f"short {i}"]), "host") for i in range(3)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, n_chars long")
+    kept = {r["doc_id"]: r for r in quality.clean(docs).collect()}
+    assert set(range(100)) | set(range(1000, 1300)) == set(kept)
+    assert kept[5]["text"] == site(5) and kept[5]["n_chars"] == len(site(5)) and kept[1000]["text"] == PROSE
+    assert {r["doc_id"] for r in quality.quality_rules(docs).where("NOT kept AND NOT base_failed").collect()} <= {2000, 2001, 2002}
+
+
+def test_lines_on_many_sites_go(spark):
+    rows = [(i, f"{site(i)}\nshared {'a' if i < 30 else 'b'}", f"s{i % 12 if i < 30 else i % 9}") for i in range(60)]
+    rows += [(100 + i, PROSE, f"s{i}") for i in range(40)]  # one text on many sites
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in boilerplate.remove_boilerplate(docs).collect()}
+    for i, text, _ in rows:
+        assert got[i] == (site(i) if i < 30 else text)
+
+
+def test_sketches_and_exact_counts_agree(spark):
+    rng = random.Random(6)
+    rows = [(i, "\n".join([site(i)] + [f"line {k}" for k in range(40) if rng.random() < k / 40]), f"s{i % 25}") for i in range(75)]
+    table = boilerplate._table(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for sites in (5, 12, 20):
+        spread = {r["h"] for r in boilerplate.spread_lines(table, sites).collect()}
+        exact = textlines.exploded(table, "site", "family").groupBy("h", "family").agg(F.min("site").alias("site")).groupBy("h").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= sites)
+        assert spread == {r["h"] for r in exact.collect()}
+
+
+# --- 7
+
+
+def test_links_lose_no_connection(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    fps = [base]
+    for _ in range(6):  # chains, so that components are wider than the radius
+        fps.append(fps[-1] ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)))
+    fps = np.unique(np.concatenate((*fps, rng.integers(0, 2**63, 300, dtype=np.uint64), [np.uint64(0), np.uint64(7), np.uint64(2**64 - 1)])))
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 3
+    want = simhash._forest(len(fps), *np.nonzero(near))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    for block in (64, 100_000):
+        edges = simhash.forest_edges(df, block=block)
+        place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+        a, b = (np.array([place[r[k]] for r in edges.collect()]) for k in ("u", "v"))
+        assert np.array_equal(simhash._forest(len(fps), a, b), want)
+        groups = defaultdict(set)
+        for r in simhash.components(edges).collect():
+            groups[r["root"]].add(place[r["node"]])
+        assert sorted(map(sorted, groups.values())) == sorted(sorted(np.flatnonzero(want == k).tolist()) for k in np.unique(want) if (want == k).sum() > 1)
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
+    got = simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r["node"]: r["root"] for r in got} == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
+
+
+# --- 8
+
+
+def test_models_tell_held_out_strings_apart():
+    models = secret_scan.trained()
+    parts = "alpha beta gamma delta river mountain window garden orange purple silver copper signal packet router bridge planet rocket engine driver".split()
+    ordinary = [x for x in secret_scan.ordinary_samples(3000, 99, parts) if len(x) >= secret_scan.SHORTEST]
+    assert sum(models.ratio(x) > secret_scan.THRESHOLD for x in ordinary) <= 0.02 * len(ordinary)
+    for alphabet in secret_scan.ALPHABETS:
+        keys = [x for x in secret_scan.random_samples(500, 77, alphabet) if len(x) >= 28]
+        assert sum(models.ratio(x) > secret_scan.THRESHOLD for x in keys) >= 0.95 * len(keys), alphabet
+
+
+def test_models_add_spans_beside_the_base_ones():
+    models = secret_scan.trained()
+    text = "key kJ8x2Qp9Zr4Lm7Tn3Vb6Wd1 and token: abcdef0 and get_user_name_from_table_2020 and 0123456789abcdef0123456789abcdef"
+    found = secret_scan.spans(text, models)
+    assert [(secret_scan.KINDS[k], text[a:b]) for a, k, b in found] == [("markov", "kJ8x2Qp9Zr4Lm7Tn3Vb6Wd1"), ("assign", "token: abcdef0"), ("hex", "0123456789abcdef0123456789abcdef")]
+
+
+# --- 10
+
+
+@pytest.mark.parametrize("hot", [0, 20_000])
+def test_both_ways_through_a_bucket_agree(spark, sf_dir, hot):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 6000")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffixes.remove_repeats(docs, hot=hot).collect()}
+    first, want = {}, {}
+    for d, x in sorted((r["doc_id"], r["text"].encode()) for r in docs.collect()):
+        gone = bytearray(len(x))
+        for i in range(len(x) - 99):
+            if first.setdefault(x[i : i + 100], (d, i)) != (d, i):
+                gone[i : i + 100] = b"\1" * 100
+        want[d] = (sum(gone), len([p for p in bytes(gone).split(b"\0") if p]))
+    assert got == want
+
+
+def test_cover_sort_orders_like_a_plain_sort():
+    rng = np.random.default_rng(1)
+    for data in (rng.integers(97, 99, 3000), np.full(900, 97), np.tile(rng.integers(97, 120, 50), 40)):
+        data = data.astype(np.uint8)
+        at, new = suffixes.sort_suffixes(data, np.arange(len(data) - 99))
+        strings = [data[i : i + 100].tobytes() for i in at]
+        assert strings == sorted(strings) and new.tolist() == [True] + [a != b for a, b in zip(strings, strings[1:], strict=False)]
+    cover = suffixes.difference_cover(32)
+    assert {(a - b) % 32 for a in cover for b in cover} == set(range(32))

@@ -34,8 +34,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 class _Planner:
     """Fills sequences of ``capacity`` from counts of lengths; everything goes by counts, never by piece."""
 
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.capacity = capacity
+    def __init__(self, counts: dict[int, int], capacity: int, most: int = 3):
+        self.capacity, self.most = capacity, most
         self.counts = [0] * (capacity + 1)
         for length, n in counts.items():
             self.counts[length] = n
@@ -77,12 +77,12 @@ class _Planner:
         return None
 
     def _complement(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths left that add up to gap; the largest lengths first."""
+        """Up to ``most`` (one, two or three) lengths left that add up to gap; the largest lengths first."""
         if self.counts[gap]:
             return (gap,)
-        if found := self._pair(gap):
+        if self.most > 1 and (found := self._pair(gap)):
             return found
-        bits = self.have & ((1 << (gap - 1)) - 1) if gap > 2 else 0
+        bits = self.have & ((1 << (gap - 1)) - 1) if gap > 2 and self.most > 2 else 0
         while bits:
             x = bits.bit_length() - 1
             if 3 * x < gap:
@@ -155,8 +155,13 @@ class _Planner:
 
 
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """Sequences for ``counts`` pieces of each length, as (number of sequences, lengths in them)."""
-    return _Planner(counts, capacity).plan()
+    """Sequences for ``counts`` pieces of each length, as (number of sequences, lengths in them).
+
+    Taking triples early can cost a later pair, so complements of up to three, two and one lengths are planned, and
+    the plan with the fewest sequences is taken.
+    """
+    plans = [_Planner(counts, capacity, most).plan() for most in (3, 2, 1)]
+    return min(plans, key=lambda plan: sum(n for n, _ in plan))
 
 
 def _places(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
