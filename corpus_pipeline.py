@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import boilerplate, decontam, packing, quality, simhash
-from vectide.llm.common import documents, write_table
+from vectide.llm import boilerplate, common, decontam, packing, quality, simhash
+from vectide.llm.common import documents
 from vectide.llm.queries import tokenizer_path
 
 
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), set(common.WRITTEN)
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = common.write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # what the stage and the one before wrote has been read for the last time
+        common.drop_tables(spark, [x for x in common.WRITTEN[:-1] if x not in before])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -154,3 +154,16 @@ def test_chats_on_edges(spark):
         loss = "".join(t[3] or "" for t in turns if t[2] == "assistant")
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.format_chats(chats.where("false"), tokenizer_path()).count() == 0
+
+
+def test_the_pipeline_drops_what_it_wrote(spark, sf_dir):
+    from vectide.llm import common
+
+    before = set(common.WRITTEN)
+    packed = corpus_pipeline.run(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.write_table(stage(spark, docs, sf_dir), "stage")
+    kept = {r["doc_id"] for r in docs.collect()}
+    assert {r["doc_id"] for r in packed.collect()} == kept and 0 < len(kept) < 200
+    assert len([x for x in common.WRITTEN if x not in before and "near-dedup" in x]) == 0

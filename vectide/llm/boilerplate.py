@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import parallelism, write_table
 from .textlines import exploded, kept_positions, row_key, with_lines, without_lines, words_at
 
 SITES, LG_K, BAND, MOST_LOST = 10, 12, 0.1, 0.7
@@ -33,7 +33,9 @@ def spread_lines(table: DataFrame, sites: int = SITES, lg_k: int = LG_K, band: f
     """h of the lines on ``sites`` or more distinct sites."""
     rows = exploded(table, "site", "family")
     enough = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h")
-    placed = write_table(rows.join(enough, "h", "left_semi").groupBy("h", "family").agg(F.min("site").alias("site")), "line-sites")
+    # dealt anew by line and family: the join's own partitions by line would gather a very common line in one task
+    held = rows.join(enough, "h", "left_semi").repartition(parallelism(table.sparkSession), "h", "family")
+    placed = write_table(held.groupBy("h", "family").agg(F.min("site").alias("site")), "line-sites")
     estimates = placed.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("n"))
     met = write_table(estimates.where(F.col("n") >= (1 - band) * sites - 1), "line-estimates")
     sure = F.col("n") >= (1 + band) * sites + 1

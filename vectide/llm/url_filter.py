@@ -24,6 +24,8 @@ from .common import ascii_lower, write_table
 DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
 #: Rounds between two written tables.
 WRITTEN = 4
+#: Parts of a host's pages in joins.
+SALTS = 16
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "example.net/de/8"), ("allow", "net/de/"), ("block", "org/es/"))
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 _REST = r"(?s)^([^/?#]*)([^?#]*)"
@@ -52,6 +54,13 @@ def _fitting(hosts: DataFrame, rules: DataFrame, labels: int) -> DataFrame:
     return met.groupBy("host").agg(F.collect_list(F.struct(F.length("rule").alias("n"), "rule", "prefix", "verdict")).alias("fits"))
 
 
+def _by_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Left join on host; rows of hosts are repeated for each of SALTS parts that a host's pages are dealt to."""
+    salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")
+    copies = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("__salt", salt).join(copies, ["host", "__salt"], "left").drop("__salt")
+
+
 def _links(pages: DataFrame) -> DataFrame:
     """src, dst, n: links between different hosts."""
     host, _ = host_and_path(F.col("url"))
@@ -84,13 +93,13 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     hosts = named.groupBy("host").agg(F.count("*").alias("pages"))
     fits = _fitting(hosts, _rule_table(pages, rules), max((r.partition("/")[0].count(".") + 1 for _, r in rules), default=1))
     longest = F.array_max(F.filter("fits", lambda r: F.startswith(F.col("path"), r["prefix"])))
-    ruled = write_table(named.join(fits, "host", "left").withColumn("best", longest).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("said")), "url-ruled")
+    ruled = write_table(_by_host(named, fits).withColumn("best", longest).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("said")), "url-ruled")
     share = lambda v: (F.count_if(F.coalesce(F.col("said") == v, F.lit(False))) / F.count("*"))
     seeds = ruled.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     scores = propagate(seeds, _links(pages), damping, rounds)
     blocked = scores.where(F.col("distrust") - F.col("trust") > threshold).select("host", F.lit(True).alias("blocked"))
     verdict = F.coalesce("said", F.when(F.col("blocked"), "block").otherwise("allow"))
-    return ruled.join(blocked, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return _by_host(ruled, blocked).select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def sql(rules=RULES) -> str:
