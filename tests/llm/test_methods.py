@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import PROSE
 from pyspark.sql import functions as F
@@ -310,3 +311,20 @@ def test_cover_sort_orders_like_a_plain_sort():
         assert strings == sorted(strings) and new.tolist() == [True] + [a != b for a, b in zip(strings, strings[1:], strict=False)]
     cover = suffixes.difference_cover(32)
     assert {(a - b) % 32 for a in cover for b in cover} == set(range(32))
+
+
+def test_parts_of_long_texts_lose_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    unit = " ".join(str(rng.random()) for _ in range(60))
+    texts = [(1, unit * 3 + "x" * 300 + unit), (2, "y" + unit), (3, " ".join(str(rng.random()) for _ in range(300)))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(map(tuple, suffixes.remove_repeats(docs).collect()))
+    batch = pa.RecordBatch.from_pydict({"data": [x.encode() for _, x in texts]})
+    monkeypatch.setattr(suffixes, "CHUNK", 200)
+    for rows, bases, data, ends in suffixes._texts(batch, 0, 100):
+        begins = [0, *ends[:-1]]
+        for row, base, a, b in zip(rows, bases, begins, ends, strict=True):
+            assert data[a:b].tobytes() == texts[row][1].encode()[base : base + b - a]
+    seen = {(r, base + k) for rows, bases, _, ends in suffixes._texts(batch, 0, 100) for r, base, n in zip(rows, bases, np.diff([0, *ends]), strict=True) for k in range(n - 99)}
+    assert seen == {(r, k) for r, (_, x) in enumerate(texts) for k in range(len(x) - 99)}
+    assert want[0][2] > 0

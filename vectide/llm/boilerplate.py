@@ -32,7 +32,8 @@ def _table(docs: DataFrame) -> DataFrame:
 def spread_lines(table: DataFrame, sites: int = SITES, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
     """h of the lines on ``sites`` or more distinct sites."""
     rows = exploded(table, "site", "family")
-    enough = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h")
+    # written, so that the join's sides are plain exchanges, of which Spark can split large partitions
+    enough = write_table(rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h"), "line-counts")
     # dealt anew by line and family: the join's own partitions by line would gather a very common line in one task
     held = rows.join(enough, "h", "left_semi").repartition(parallelism(table.sparkSession), "h", "family")
     placed = write_table(held.groupBy("h", "family").agg(F.min("site").alias("site")), "line-sites")

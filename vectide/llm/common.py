@@ -28,6 +28,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows of an Arrow batch: texts are long, and a task holds a batch several times over.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
 #: Paths that write_table has written in this process, in order.
 WRITTEN: list[str] = []
 
@@ -36,12 +39,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    own = {CLEANUP: "true", BATCH: BATCH_ROWS}
+    before = {k: spark.conf.get(k) for k in own}
     try:
+        for k, x in own.items():
+            spark.conf.set(k, x)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, x in before.items():
+            spark.conf.set(k, x)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,3 +71,13 @@ def ascii_lower(col):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+_WORKER: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks. Workers are shared: what another operator kept goes."""
+    if owner not in _WORKER:
+        _WORKER.clear()
+    return _WORKER.setdefault(owner, {})

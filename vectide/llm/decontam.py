@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 WINDOW, SHORTEST, SHARE, ENOUGH, BLOCK = 8, 4, 0.5, 13, 2_000_000
 
 # Words for numbers, and units.
@@ -91,14 +93,14 @@ class _Pieces(dict):
 
 #: Pieces a worker keeps at most.
 MOST_PIECES = 1_000_000
-_WORKER: dict[str, _Pieces] = {}
 
 
 def template(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Template tokens of texts, one after the other (placeholders are 1 to 3, the end of a text is END), the piece that each stands for, and all pieces."""
-    pieces = _WORKER.get("pieces")
+    kept = worker_cache("decontam")
+    pieces = kept.get("pieces")
     if pieces is None or len(pieces) > MOST_PIECES:
-        pieces = _WORKER["pieces"] = _Pieces()
+        pieces = kept["pieces"] = _Pieces()
     raw: list[str] = []
     for text in texts:
         if text:

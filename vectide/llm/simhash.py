@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parallelism, write_table
+from .common import worker_cache, write_table
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints in a block (a task holds two) and in a tile (a task holds one tile pair's matrix).
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed 64-bit) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for batch in batches:
             got = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
@@ -212,6 +213,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        worker_cache("simhash")
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, write_table
+from .common import parallelism, worker_cache, write_table
 
 LENGTH, GRAM, COVER, HOT = 100, 32, 32, 20_000
 #: Bytes of runs that are sorted together, and of texts that are hashed together.
@@ -106,28 +106,37 @@ def _per_text(h: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     return doc[heads], m[heads], np.diff(np.append(heads, len(m)))
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows of a batch some at a time: first, last + 1, bytes, ends of the texts."""
-    rows = batch.column(column)
-    data = [x.as_buffer() for x in rows]
-    first, size = 0, 0
-    for i, x in enumerate(data):
-        size += x.size
-        if size >= CHUNK or i == len(data) - 1:
-            yield first, i + 1, np.frombuffer(b"".join(map(memoryview, data[first : i + 1])), np.uint8), np.cumsum([y.size for y in data[first : i + 1]])
-            first, size = i + 1, 0
+def _texts(batch: pa.RecordBatch, column: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A batch's texts some at a time, long ones in parts that overlap by less than a window: row and offset of each part, the parts' bytes, and their ends."""
+    rows, bases, parts, size = [], [], [], 0
+    for row, x in enumerate(batch.column(column)):
+        data = memoryview(x.as_buffer())
+        step = len(data) if len(data) <= 4 * CHUNK else CHUNK
+        for at in range(0, max(1, len(data) - length + 1), max(1, step)):
+            rows.append(row)
+            bases.append(at)
+            parts.append(data[at : at + step + length - 1])
+            size += len(parts[-1])
+            if size >= CHUNK:
+                yield np.array(rows), np.array(bases), np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(y) for y in parts])
+                rows, bases, parts, size = [], [], [], 0
+    if rows:
+        yield np.array(rows), np.array(bases), np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(y) for y in parts])
 
 
 def _hash_places(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """t, m, twice: the smallest hashes of each text's windows, and whether the text has m twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("suffixes")
         for batch in batches:
-            t = np.asarray(batch.column(0))
-            for a, b, data, ends in _texts(batch, 1):
+            t, n_bytes = np.asarray(batch.column(0)), np.array([x.as_buffer().size for x in batch.column(1)])
+            for rows, _, data, ends in _texts(batch, 1, length):
                 h, _, at = minimizers(data, ends, length, gram)
                 doc, m, n = _per_text(h, at, ends)
-                yield pa.RecordBatch.from_arrays([pa.array(t[a:b][doc]), pa.array(m.view(np.int64)), pa.array(n > 1)], names=["t", "m", "twice"])
+                row = rows[doc]
+                # the parts of a long text aren't compared here: all its hashes go on
+                yield pa.RecordBatch.from_arrays([pa.array(t[row]), pa.array(m.view(np.int64)), pa.array((n > 1) | (n_bytes[row] > 4 * CHUNK))], names=["t", "m", "twice"])
 
     return docs.select("t", "data").mapInArrow(run, "t long, m long, twice boolean")
 
@@ -138,8 +147,8 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            wanted = batch.column(3)
-            for a, b, data, ends in _texts(batch, 2):
+            n_bytes, wanted = np.array([x.as_buffer().size for x in batch.column(2)]), batch.column(3)
+            for part_rows, bases, data, ends in _texts(batch, 2, length):
                 h, least, at = minimizers(data, ends, length, gram)
                 again, hash_, n = _per_text(h, at, ends)
                 again, hash_ = again[n > 1], hash_[n > 1]
@@ -153,16 +162,17 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 keep, twice = np.zeros(len(cut), bool), np.zeros(len(cut), bool)
                 for i in np.unique(doc):
                     rows = slice(*np.searchsorted(doc, (i, i + 1)))
-                    keep[rows] = np.isin(m[rows], np.asarray(wanted[a + int(i)].values).view(np.uint64))
+                    keep[rows] = np.isin(m[rows], np.asarray(wanted[int(part_rows[i])].values).view(np.uint64))
                     own = slice(*np.searchsorted(again, (i, i + 1)))
                     if own.stop > own.start:
                         twice[rows] = np.isin(m[rows], hash_[own])
                 keep &= m != 0
+                twice |= n_bytes[part_rows[doc]] > 4 * CHUNK
                 cut, stop, doc, m, twice = cut[keep], stop[keep], doc[keep], m[keep], twice[keep]
                 raw = data.tobytes()
                 parts = [raw[x : y + length - 1] for x, y in zip(cut.tolist(), stop.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(m.view(np.int64)), pa.array(d[a:b][doc]), pa.array(t[a:b][doc]), pa.array(cut - starts[doc]), pa.array(parts, pa.binary()), pa.array(twice)],
+                    [pa.array(m.view(np.int64)), pa.array(d[part_rows[doc]]), pa.array(t[part_rows[doc]]), pa.array(cut - starts[doc] + bases[doc]), pa.array(parts, pa.binary()), pa.array(twice)],
                     names=["m", "d", "t", "start", "run", "twice"],
                 )
 

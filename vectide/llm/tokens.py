@@ -8,6 +8,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import worker_cache
+
 #: A piece longer than this is not kept in the cache.
 LONGEST_KEPT = 48
 
@@ -93,14 +95,12 @@ class PieceEncoder:
         return len(self.ids(text)) // 4
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """The encoder of this Python worker; later tasks of the worker find its cache filled."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    kept = worker_cache("tokens")
+    if path not in kept:
+        kept[path] = PieceEncoder(path)
+    return kept[path]
 
 
 def together(texts: list[str | None], size: int = 1 << 12) -> Iterator[list[str | None]]:
