@@ -186,6 +186,19 @@ class Hierarchy:
     levels: list[dict[int, np.ndarray]]  # by node of the level above
     branches: int
 
+    def table(self, spark) -> DataFrame:
+        """level, node (of the level above), child, v."""
+        rows = [(k, node, i, [float(x) for x in c]) for k, level in enumerate(self.levels) for node, m in level.items() for i, c in enumerate(m)]
+        return spark.createDataFrame(rows, "level int, node long, child int, v array<double>")
+
+    @classmethod
+    def from_table(cls, df: DataFrame) -> Hierarchy:
+        rows = df.orderBy("level", "node", "child").collect()  # the centroids
+        levels: list[dict[int, list]] = [{} for _ in range(max(r["level"] for r in rows) + 1)]
+        for r in rows:
+            levels[r["level"]].setdefault(r["node"], []).append(r["v"])
+        return cls([{k: np.array(m) for k, m in level.items()} for level in levels], max(r["child"] for r in rows) + 1)
+
     def quantize(self, df: DataFrame, key: str = "id", v: str = "v") -> DataFrame:
         """id, leaf."""
         shared = df.sparkSession.sparkContext.broadcast((self.levels, self.branches))
@@ -230,7 +243,7 @@ def gaussian_kernel(df: DataFrame, sigma: float, key: str = "id", v: str = "v")
 def spectral(df: DataFrame, k: int, sigma: float, rounds: int = 30, seed: int = 0, key: str = "id", v: str = "v") -> DataFrame:
     """id, cluster from the normalised kernel's k leading eigenvectors, rows scaled to unit length. For sets that fit the driver as an n by n matrix."""
     ids, m = _side(df, key, v)
-    if len(ids) > 20_000:
+    if len(ids) > 5_000:
         raise ValueError("too many vectors for a dense kernel")
     a = np.exp(-kernels.pairwise(m, m, "l2") / (2 * sigma * sigma))
     np.fill_diagonal(a, 0)

@@ -101,3 +101,11 @@ def within_ratio(df: DataFrame, value: str, group: list[str], ratio: float) -> D
 
 def invert_permutation(df: DataFrame, index: str, target: str) -> DataFrame:
     return df.select(F.col(target).alias(index), F.col(index).alias(target))
+
+
+def average_precision(ranked: DataFrame, query: str, rank: str, relevant: str, total: str) -> DataFrame:
+    """query, ap: area under precision over recall by trapezoids; ``rank`` from 1, ``total`` relevant items for each query."""
+    hit = F.sum(F.col(relevant).cast("int")).over(Window.partitionBy(query).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
+    hits = ranked.withColumn("__k", hit).where(F.col(relevant))
+    before = F.when(F.col(rank) > 1, (F.col("__k") - 1) / F.greatest(F.col(rank) - 1, F.lit(1))).otherwise(1.0)
+    return hits.groupBy(query).agg((F.sum((before + F.col("__k") / F.col(rank)) / 2) / F.max(total)).alias("ap"))

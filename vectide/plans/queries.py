@@ -514,6 +514,27 @@ scalar_query("poly3_embedding_norm", lambda: V.norm(V.poly3(F.slice("v", 1, 8)))
 vector_query("angular_modulation", lambda: V.angular(F.slice("v", 1, 6), F.col("id") % 7 * 0.3, [0.5, 1.0, 0.25]), "list_concat(list_concat(list_concat(list_concat(list_transform(v[1:6], lambda x: 0.5 * x), list_transform(v[1:6], lambda x: x * cos(id % 7 * 0.3))), list_transform(v[1:6], lambda x: 0.25 * x * cos(2 * (id % 7 * 0.3)))), list_transform(v[1:6], lambda x: x * sin(id % 7 * 0.3))), list_transform(v[1:6], lambda x: 0.25 * x * sin(2 * (id % 7 * 0.3))))")
 
 
+add(
+    "modulated_by_label",
+    lambda s, d: descriptors.modulated(E(s, d).withColumn("angle", F.col("id") % 7 * 0.3).withColumn("v", F.slice("v", 1, 6)), "angle", [0.5, 1.0], 1, "label").select("label", F.posexplode("m").alias("pos", "x")).select("label", F.col("pos").cast("bigint").alias("pos"), rounded(F.col("x")).alias("x")),
+    f"""SELECT label, pos::BIGINT pos, {rounded_sql('sum(x)')} x FROM (SELECT label, generate_subscripts(w, 1) - 1 pos, unnest(w) x FROM (SELECT label,
+    list_concat(list_concat(list_transform(v[1:6], lambda x: 0.5 * x), list_transform(v[1:6], lambda x: x * cos(id % 7 * 0.3))), list_transform(v[1:6], lambda x: x * sin(id % 7 * 0.3))) w FROM {E_SQL})) GROUP BY label, pos""",
+)
+add(
+    "average_precision",
+    lambda s, d: ordered.average_precision(_judged(s, d), "qid", "rank", "relevant", "total").select("qid", rounded(F.col("ap")).alias("ap")),
+    f"""WITH k AS ({_knn_sql(_PAIRS['l2'], 50)}), j AS (SELECT qid, "rank" r, b.label = q.label rel FROM k JOIN embeddings q ON q.vec_id = qid JOIN embeddings b ON b.vec_id = bid),
+    h AS (SELECT *, sum(rel::INT) OVER (PARTITION BY qid ORDER BY r) c FROM j)
+    SELECT qid, {rounded_sql('sum((CASE WHEN r > 1 THEN (c - 1) / (r - 1) ELSE 1 END + c / r) / 2) / max(t.n)')} ap FROM h JOIN embeddings q ON q.vec_id = qid JOIN (SELECT label, count(*) n FROM embeddings GROUP BY label) t ON t.label = q.label WHERE rel GROUP BY qid""",
+)
+
+
+def _judged(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings").select("vec_id", "label")
+    near = neighbours.knn(E(s, d).where(_Q), E(s, d), 50).join(e.select(F.col("vec_id").alias("qid"), F.col("label").alias("ql")), "qid").join(e.select(F.col("vec_id").alias("bid"), F.col("label").alias("bl")), "bid")
+    return near.join(e.groupBy(F.col("label").alias("ql")).agg(F.count("*").alias("total")), "ql").withColumn("relevant", F.col("ql") == F.col("bl"))
+
+
 # files and streams
 def _round_trip(s: SparkSession, d: str, elem: str) -> DataFrame:
     import uuid
