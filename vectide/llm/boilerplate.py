@@ -1,8 +1,8 @@
 """Line dedup by distinct-site spread.
 
-Lines that stand on many sites are boilerplate and are removed everywhere. Lines held by fewer documents than
-the threshold can't be: they go first, by a count. Each family of documents (see textlines) stands for one
-site, its smallest, so a text that many sites copied doesn't make its lines boilerplate. HyperLogLog sketches
+Lines that stand on many sites are boilerplate and are removed everywhere. Each family of documents (see textlines) stands for one
+site, its smallest, so a text that many sites copied doesn't make its lines boilerplate. Lines of fewer families than
+the threshold can't be boilerplate: they go first, by a count. HyperLogLog sketches
 of those sites, one per line hash, merge by aggregation. Where a sketch's estimate is within ``band`` of the
 threshold, the sites are counted exactly. A document whose words are mostly (``most_lost``) such lines is a
 copied text rather than a page with boilerplate: it stays whole, for near-duplicate removal to judge.
@@ -31,23 +31,23 @@ def _table(docs: DataFrame) -> DataFrame:
 
 def spread_lines(table: DataFrame, sites: int = SITES, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
     """h of the lines on ``sites`` or more distinct sites."""
-    rows = exploded(table, "site", "family")
-    # written, so that the join's sides are plain exchanges, of which Spark can split large partitions
-    enough = write_table(rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h"), "line-counts")
-    # dealt anew by line and family: the join's own partitions by line would gather a very common line in one task
-    held = rows.join(enough, "h", "left_semi").repartition(parallelism(table.sparkSession), "h", "family")
-    placed = write_table(held.groupBy("h", "family").agg(F.min("site").alias("site")), "line-sites")
+    # copies and common lines are combined before the shuffle; a family stands for its smallest site
+    held = write_table(exploded(table, "site", "family").groupBy("h", "family").agg(F.min("site").alias("site")), "line-sites")
+    enough = write_table(held.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h"), "line-counts")
+    # both sides of this join are plain exchanges, of which Spark can split large partitions; sketches are begun on
+    # rows dealt anew by line and family, and only sketches meet by line
+    placed = held.join(enough, "h", "left_semi").repartition(parallelism(table.sparkSession), "h", "family")
     estimates = placed.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("n"))
     met = write_table(estimates.where(F.col("n") >= (1 - band) * sites - 1), "line-estimates")
     sure = F.col("n") >= (1 + band) * sites + 1
-    exact = placed.join(met.where(~sure), "h", "left_semi").groupBy("h", "site").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites)
+    exact = held.join(met.where(~sure), "h", "left_semi").repartition(parallelism(table.sparkSession), "h", "family").groupBy("h", "site").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites)
     return met.where(sure).select("h").union(exact.select("h"))
 
 
 def removed_lines(docs: DataFrame, sites: int = SITES, lg_k: int = LG_K, band: float = BAND, most_lost: float = MOST_LOST) -> DataFrame:
     """key, removed (positions), for the documents that lose lines."""
     table = write_table(_table(docs), "line-table")
-    spread = write_table(spread_lines(table, sites, lg_k, band), "line-spread")
+    spread = spread_lines(table, sites, lg_k, band)
     found = exploded(table, "key").join(spread, "h", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("removed"))
     joined = table.select("key", "entries").join(found, "key")
     words = words_at(F.col("entries"), F.sequence(F.lit(0), F.size("entries") - 1))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,12 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_OWN: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of this session's own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of this application's own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.gettempdir()}/vectide-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = f"file://{tempfile.mkdtemp(prefix='vectide-')}"
+            atexit.register(shutil.rmtree, _OWN[application].removeprefix("file://"), ignore_errors=True)
+        found = _OWN[application]
     return found.rstrip("/")
 
 

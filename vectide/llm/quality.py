@@ -63,7 +63,7 @@ def frequent_lines(table: DataFrame, least: int = LEAST, share: float = SHARE) -
 
 def _judged(docs: DataFrame, least: int, share: float, most_lost: float) -> DataFrame:
     table = write_table(_counted(docs), "quality")
-    frequent = write_table(frequent_lines(table, least, share), "quality-lines")
+    frequent = frequent_lines(table, least, share)
     removed = exploded(table, "key", "host").join(frequent, ["host", "h"], "left_semi").groupBy("key").agg(F.collect_set("pos").alias("removed"))
     found = table.join(removed, "key", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     left = F.when(F.size("removed") == 0, F.col("n_words")).otherwise(words_at(F.col("entries"), kept_positions(F.size("entries"), F.col("removed"))).cast("long"))

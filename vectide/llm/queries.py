@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, licenses, quality, url_filter
+from . import boilerplate, licenses, quality, suffixes, url_filter
 from .common import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -53,9 +53,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffixes import remove_repeats
-
-    return remove_repeats(documents(spark, sf_dir))
+    return suffixes.remove_repeats(documents(spark, sf_dir))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +93,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": url_filter.sql(), "op5_licenses": licenses.sql(), "op6_quality": quality.SQL, "op9_line_dedup": boilerplate.SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": url_filter.sql(), "op5_licenses": licenses.sql(), "op6_quality": quality.SQL, "op9_line_dedup": boilerplate.SQL, "op10_suffix_dedup": suffixes.SQL}

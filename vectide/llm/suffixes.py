@@ -390,3 +390,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.join(spans, ["d", "t"], "left").select("doc_id", "data", "spans").mapInArrow(run, schema)
+
+
+#: The same in SQL, for tables that one machine holds: every window in hexadecimal, the earliest of equal ones kept.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () rid, dense_rank() OVER (ORDER BY coalesce(doc_id, -9223372036854775808), coalesce(text, '')) o, doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+w AS (SELECT rid, o, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) m FROM (SELECT rid, o, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) i FROM d)),
+f AS (SELECT m, min({{'o': o, 'i': i}}) f FROM w GROUP BY m HAVING count(*) > 1),
+r AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) p FROM w JOIN f USING (m) WHERE o > f.o OR (o = f.o AND i > f.i)),
+g AS (SELECT rid, i, sum(CASE WHEN p IS NULL OR i > p + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) g FROM r),
+s AS (SELECT rid, min(i) a, max(i) + {LENGTH} b FROM g GROUP BY rid, g),
+e AS (SELECT rid, a, b FROM s UNION ALL SELECT rid, length(h) // 2, length(h) // 2 FROM d),
+k AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a, b), 0) c FROM e)
+SELECT d.doc_id, any_value(length(h) // 2)::BIGINT n_bytes, sum(b - a)::BIGINT n_removed, (count(*) - 1)::BIGINT n_spans, sha256(unhex(string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a, b))) kept_sha256
+FROM k JOIN d USING (rid) GROUP BY d.rid, d.doc_id
+"""
