@@ -537,11 +537,12 @@ def _judged(s: SparkSession, d: str) -> DataFrame:
 
 # files and streams
 def _round_trip(s: SparkSession, d: str, elem: str) -> DataFrame:
+    import tempfile
     import uuid
 
     from vectide.sources import vecfiles
 
-    base = s.conf.get("spark.checkpoint.dir", None) or f"{s.conf.get('spark.sql.warehouse.dir')}"
+    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     path = f"{base.rstrip('/')}/vectors-{uuid.uuid4().hex}"
     column = {"f32": F.col("v").cast("array<float>"), "i32": F.col("iv").cast("array<int>"), "i64": F.col("iv"), "u8": F.transform("iv", lambda x: (x + 100).cast("smallint"))}[elem]
     vecfiles.write_vectors(E(s, d).select(column.alias("v")).coalesce(2), path, elem)

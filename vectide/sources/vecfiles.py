@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,8 +48,12 @@ class Part(InputPartition):
     d: int
 
 
+def _local(path: str) -> str:
+    return re.sub("^file:(//)?", "", path)
+
+
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
+    path = _local(path)
     found = sorted(x for x in glob.glob(os.path.join(path, "*") if os.path.isdir(path) else path) if os.path.isfile(x) and os.path.basename(x)[0] not in "._")
     if not found:
         raise FileNotFoundError(path)
@@ -171,7 +176,7 @@ class VectorWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict[str, str], elem: str, overwrite: bool):
         self.options, self.elem = options, elem
-        self.path = options["path"].removeprefix("file://")
+        self.path = _local(options["path"])
         if overwrite and os.path.isdir(self.path):
             for x in _files(self.path) if os.listdir(self.path) else []:
                 os.remove(x)
