@@ -225,6 +225,16 @@ def test_lines_on_many_sites_go(spark):
         assert got[i] == (site(i) if i < 30 else text)
 
 
+def test_every_site_of_a_line_counts(spark):
+    footer = " ".join(f"imprint{j}" for j in range(60))  # the longest line of all its pages
+    rows = [(i, f"{site(i)}\n{footer}", f"s{i % 12}") for i in range(24)]
+    rows += [(100 + i, PROSE, f"s{i}") for i in range(40)]  # copies of a whole text
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in boilerplate.remove_boilerplate(docs).collect()}
+    for i, text, _ in rows:
+        assert got[i] == (site(i) if i < 100 else text)
+
+
 def test_sketches_and_exact_counts_agree(spark):
     rng = random.Random(6)
     rows = [(i, "\n".join([site(i)] + [f"line {k}" for k in range(40) if rng.random() < k / 40]), f"s{i % 25}") for i in range(75)]

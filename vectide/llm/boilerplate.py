@@ -1,11 +1,11 @@
 """Line dedup by distinct-site spread.
 
-Lines that stand on many sites are boilerplate and are removed everywhere. Each family of documents (see textlines) stands for one
-site, its smallest, so a text that many sites copied doesn't make its lines boilerplate. Lines of fewer families than
-the threshold can't be boilerplate: they go first, by a count. HyperLogLog sketches
-of those sites, one per line hash, merge by aggregation. Where a sketch's estimate is within ``band`` of the
-threshold, the sites are counted exactly. A document whose words are mostly (``most_lost``) such lines is a
-copied text rather than a page with boilerplate: it stays whole, for near-duplicate removal to judge.
+Lines that stand on many sites are boilerplate and are removed everywhere. Every distinct (line, site) counts. Lines
+that occur fewer times than the threshold can't be boilerplate: they go first, by a count. HyperLogLog sketches
+of the sites, one per line hash, merge by aggregation. Where a sketch's estimate is within ``band`` of the
+threshold, the sites are counted exactly. Copies of whole texts are told apart afterwards, document by document: one
+whose words are mostly (``most_lost``) such lines is a copied text rather than a page with boilerplate. It stays whole,
+for near-duplicate removal to judge, and its lines count like all others.
 
 All steps are DataFrame expressions; a hot line or site is combined before each shuffle.
 
@@ -31,16 +31,16 @@ def _table(docs: DataFrame) -> DataFrame:
 
 def spread_lines(table: DataFrame, sites: int = SITES, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
     """h of the lines on ``sites`` or more distinct sites."""
-    # copies and common lines are combined before the shuffle; a family stands for its smallest site
-    held = write_table(exploded(table, "site", "family").groupBy("h", "family").agg(F.min("site").alias("site")), "line-sites")
-    enough = write_table(held.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h"), "line-counts")
+    # lines that repeat on a site are combined before the shuffle
+    held = write_table(exploded(table, "site").groupBy("h", "site").agg(F.count("*").alias("n")), "line-sites")
+    enough = write_table(held.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= sites).select("h"), "line-counts")
     # both sides of this join are plain exchanges, of which Spark can split large partitions; sketches are begun on
-    # rows dealt anew by line and family, and only sketches meet by line
-    placed = held.join(enough, "h", "left_semi").repartition(parallelism(table.sparkSession), "h", "family")
+    # rows dealt anew by line and site, and only sketches meet by line
+    placed = held.join(enough, "h", "left_semi").repartition(parallelism(table.sparkSession), "h", "site")
     estimates = placed.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("n"))
     met = write_table(estimates.where(F.col("n") >= (1 - band) * sites - 1), "line-estimates")
     sure = F.col("n") >= (1 + band) * sites + 1
-    exact = held.join(met.where(~sure), "h", "left_semi").repartition(parallelism(table.sparkSession), "h", "family").groupBy("h", "site").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites)
+    exact = held.join(met.where(~sure), "h", "left_semi").repartition(parallelism(table.sparkSession), "h", "site").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= sites)
     return met.where(sure).select("h").union(exact.select("h"))
 
 
