@@ -189,6 +189,15 @@ def test_lsh_recall_grows(spark, sf_dir):
     assert found[0] < found[1] and found[1] > 0.4
 
 
+def test_lsh_recall_of_the_query(spark, sf_dir):
+    from vectide.plans.queries import QUERIES
+
+    e = E(spark, sf_dir).select("id", "v")
+    exact = {(r["qid"], r["bid"]) for r in neighbours.knn(e.where("id % 20 = 0"), e, 5).collect()}
+    got = {(r["qid"], r["bid"]) for r in QUERIES["lsh_knn"](spark, sf_dir).collect()}
+    assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
+
+
 def test_descriptor_subsets(spark, points):
     df = frame(spark, points)
     c = frame(spark, points[[0, 40, 80]])
