@@ -216,6 +216,16 @@ def test_frequent_lines_go_and_copies_stay(spark):
     assert {r["doc_id"] for r in quality.quality_rules(docs).where("NOT kept AND NOT base_failed").collect()} <= {2000, 2001, 2002}
 
 
+def test_small_hosts_and_longest_lines_are_judged(spark):
+    footer = " ".join(f"imprint{j}" for j in range(60))  # the longest line of all its pages
+    rows = [(i, site(i) + "\n" + footer * (i < 6), "small") for i in range(20)]
+    rows += [(100 + i, PROSE, "small") for i in range(20)]  # copies of a whole text are one document
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in quality.clean(docs).collect()}
+    for i, text, _ in rows:
+        assert got[i] == (site(i) if i < 6 else text)
+
+
 def test_lines_on_many_sites_go(spark):
     rows = [(i, f"{site(i)}\nshared {'a' if i < 30 else 'b'}", f"s{i % 12 if i < 30 else i % 9}") for i in range(60)]
     rows += [(100 + i, PROSE, f"s{i}") for i in range(40)]  # one text on many sites

@@ -1,9 +1,9 @@
 """Quality rules: counts on each text, and line frequency across the documents of a host.
 
 All steps are DataFrame expressions. Counts on a text need no shuffle. For line frequency, normal lines are
-hashed and the distinct families (see textlines) that hold a line are counted per host. A line above the limit
-- more than ``least`` families and more than ``share`` of the host's families - is removed from that host's
-documents. A document that loses more than ``most_lost`` of its words that way is depleted and rejected.
+hashed and the distinct documents that hold a line are counted per host; documents with the same lines are one.
+A line above the limit - more than ``least`` documents and more than ``share`` of the host's documents - is removed
+from that host's documents. A document that loses more than ``most_lost`` of its words that way is depleted and rejected.
 Counting is combined before each shuffle, so a hot host or line is a row a task; lists hold line positions of
 one document.
 
@@ -20,6 +20,8 @@ from .common import write_table
 from .textlines import exploded, has_word, kept_positions, row_key, with_lines, without_lines, words_at, words_of
 
 LEAST, SHARE, MOST_LOST = 50, 0.05, 0.7
+#: The floor beside the share: a few documents, so that small hosts are judged too. LEAST is that of the SQL.
+FEW = 4
 SYMBOLS = "#*$%&|<>"
 
 
@@ -41,7 +43,7 @@ def _repeated(df: DataFrame) -> DataFrame:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """A row per document: key, doc_id, host, counts, base_failed, entries, family. No shuffle."""
+    """A row per document: key, doc_id, host, counts, base_failed, entries, whole (a hash of all lines). No shuffle."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     df = df.withColumn("key", row_key("doc_id", "host", "text"))
     df = df.withColumn("__words", words_of(F.col("text"))).withColumn("__lines", F.filter(F.split("text", "\n"), has_word))
@@ -51,14 +53,14 @@ def _counted(docs: DataFrame) -> DataFrame:
     df = df.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     df = with_lines(_repeated(df), "text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.select("key", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "entries", "family")
+    return df.select("key", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "entries", F.xxhash64(F.transform(F.filter("entries", lambda x: x["w"] > 0), lambda x: x["h"])).alias("whole"))
 
 
-def frequent_lines(table: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def frequent_lines(table: DataFrame, least: int = FEW, share: float = SHARE) -> DataFrame:
     """host, h of lines above the limits."""
-    hosts = table.groupBy("host", "family").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("families"))
-    lines = exploded(table, "host", "family").groupBy("host", "h", "family").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    return lines.join(hosts, "host").where(F.col("n") > share * F.col("families")).select("host", "h")
+    hosts = table.groupBy("host", "whole").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("documents"))
+    lines = exploded(table, "host", "whole").groupBy("host", "h", "whole").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    return lines.join(hosts, "host").where(F.col("n") > share * F.col("documents")).select("host", "h")
 
 
 def _judged(docs: DataFrame, least: int, share: float, most_lost: float) -> DataFrame:
@@ -72,12 +74,12 @@ def _judged(docs: DataFrame, least: int, share: float, most_lost: float) -> Data
     return found.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def quality_rules(docs: DataFrame, least: int = LEAST, share: float = SHARE, most_lost: float = MOST_LOST) -> DataFrame:
+def quality_rules(docs: DataFrame, least: int = FEW, share: float = SHARE, most_lost: float = MOST_LOST) -> DataFrame:
     """A row per document: counts, base_failed, kept, left_words (words after frequent lines are gone)."""
     return _judged(docs, least, share, most_lost).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_words")
 
 
-def clean(docs: DataFrame, least: int = LEAST, share: float = SHARE, most_lost: float = MOST_LOST) -> DataFrame:
+def clean(docs: DataFrame, least: int = FEW, share: float = SHARE, most_lost: float = MOST_LOST) -> DataFrame:
     """The documents that are kept, without their host's frequent lines; all columns of ``docs``."""
     verdicts = _judged(docs, least, share, most_lost).where("kept").groupBy("key").agg(F.first("removed").alias("__removed"))
     keyed = docs.withColumn("__key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit(z)) for c, z in (("doc_id", "\x00"), ("source", ""), ("text", ""))]))
