@@ -44,6 +44,12 @@ def test_query_without_sql_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize("name, column", [("spectral_clustering", "id"), ("fisher_vector_each", "id"), ("hamming_embedding", "qid")])
+def test_query_sees_the_whole_table(spark, sf_dir, name, column):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert QUERIES[name](spark, sf_dir).select(column).distinct().count() == n
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 

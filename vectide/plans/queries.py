@@ -447,7 +447,7 @@ add("hamming_embedding", lambda s, d: _hamming_embedding(s, d))
 def _hamming_embedding(s: SparkSession, d: str) -> DataFrame:
     he = inverted.HammingEmbedding.learn(E(s, d), 8, 32, rounds=5)
     signed = he.signatures(E(s, d))
-    return inverted.InvertedFile.build(signed, 8).probe(signed.where("id < 20").select(F.col("id").alias("qid"), "key", "code"), 8)
+    return inverted.InvertedFile.build(signed, 8).probe(signed.select(F.col("id").alias("qid"), "key", "code"), 8)
 
 
 # k-means LSH
@@ -472,7 +472,7 @@ add("kmeans_chi2", lambda s, d: clustering.kmeans(E(s, d).withColumn("v", F.tran
 add("kmeans_spherical", lambda s, d: clustering.kmeans(E(s, d), 5, "cosine", rounds=8, init="first").assign(E(s, d)).groupBy("cluster").agg(F.count("*").alias("n")))
 add("hierarchical_kmeans", lambda s, d: clustering.hierarchical(E(s, d), 3, 2, rounds=5).quantize(E(s, d)).groupBy("leaf").agg(F.count("*").alias("n")))
 add("gaussian_kernel", lambda s, d: clustering.gaussian_kernel(E(s, d).where("id < 30"), 0.7).select("aid", "bid", rounded(F.col("x")).alias("x")), f"SELECT q.id aid, b.id bid, CASE WHEN q.id = b.id THEN 0.0 ELSE {rounded_sql('exp(-' + _PAIRS['l2'] + ' / (2 * 0.7 * 0.7))')} END x FROM {E_SQL} q, {E_SQL} b WHERE q.id < 30 AND b.id < 30")
-add("spectral_clustering", lambda s, d: clustering.spectral(E(s, d).where("id < 200"), 3, 0.7))
+add("spectral_clustering", lambda s, d: clustering.spectral(E(s, d), 3, 0.7))
 
 
 # mixtures
@@ -483,7 +483,7 @@ def _mixture(s: SparkSession, d: str) -> mixture.Mixture:
 add("gmm_fit", lambda s, d: _mixture(s, d).table(s))
 add("gmm_posteriors", lambda s, d: _mixture(s, d).assign(E(s, d)))
 add("fisher_vector", lambda s, d: mixture.fisher(E(s, d), _mixture(s, d), "label", ("w", "mu", "sigma")))
-add("fisher_vector_each", lambda s, d: mixture.fisher(E(s, d).where("id < 50"), _mixture(s, d), "id", ("mu",)))
+add("fisher_vector_each", lambda s, d: mixture.fisher(E(s, d), _mixture(s, d), "id", ("mu",)))
 
 # descriptors
 _NEAR = _ASSIGN.format(e="(SELECT id, v FROM " + E_SQL + ")", c="(SELECT id, v FROM " + E_SQL + " WHERE id < 8)")
