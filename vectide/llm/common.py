@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,12 @@ _OWN: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of this application's own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own; a
+    cluster has no folder that all its machines see, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         application = spark.sparkContext.applicationId
         if application not in _OWN:
             _OWN[application] = f"file://{tempfile.mkdtemp(prefix='vectide-')}"
@@ -38,35 +42,49 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch: texts are long, and a task holds a batch several times over.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
-#: Paths that write_table has written in this process, in order.
-WRITTEN: list[str] = []
+_CURRENT: ContextVar[Tables | None] = ContextVar("tables", default=None)
+
+
+class Tables:
+    """What operators write inside ``with Tables(spark) as own``: ``own.paths``, in order. ``own.drop()`` deletes it once
+    nothing reads it any more; other threads' and other blocks' tables aren't touched."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        self._token = _CURRENT.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _CURRENT.reset(self._token)
+
+    def drop(self, but: int = 0) -> None:
+        """Delete all tables but the last ``but``."""
+        while len(self.paths) > but:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[0])
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            del self.paths[0]
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    own = {CLEANUP: "true", BATCH: BATCH_ROWS}
-    before = {k: spark.conf.get(k) for k in own}
+    settings = {CLEANUP: "true", BATCH: BATCH_ROWS}
+    before = {k: spark.conf.get(k) for k in settings}
     try:
-        for k, x in own.items():
+        for k, x in settings.items():
             spark.conf.set(k, x)
         df.write.option("compression", "zstd").parquet(path)
     finally:
         for k, x in before.items():
             spark.conf.set(k, x)
-    WRITTEN.append(path)
+    if (own := _CURRENT.get()) is not None:
+        own.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Delete written tables that nothing reads any more."""
-    for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        WRITTEN.remove(path)
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -19,27 +19,25 @@ from pyspark.sql import functions as F
 from .common import write_table
 from .textlines import exploded, has_word, kept_positions, row_key, with_lines, without_lines, words_at, words_of
 
-LEAST, SHARE, MOST_LOST = 50, 0.05, 0.7
-#: The floor beside the share: a few documents, so that small hosts are judged too. LEAST is that of the SQL.
-FEW = 4
+#: The floor beside the share is a few documents, so that small hosts are judged too.
+LEAST, SHARE, MOST_LOST = 4, 0.05, 0.7
 SYMBOLS = "#*$%&|<>"
 
 
 def _repeated(df: DataFrame) -> DataFrame:
-    """Adds n_repeat_words: words in 3-word windows found twice or more. Windows are hashed, the position goes in the
-    low bits, so that sorting long integers brings equal windows together in order of position."""
+    """Adds n_repeat_words: words in 3-word windows found twice or more. Windows are (64-bit hash, position), sorted, so
+    that equal ones are neighbours in order of position; the positions of those that aren't alone cover 3 words each."""
     n = F.size("__words")
     windows = F.transform(
         F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)).bitwiseAND(F.col("__high")).bitwiseOR(i.cast("long")),
+        lambda i: F.struct(F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)).alias("h"), i.alias("i")),
     )
-    df = df.withColumn("__high", -F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n.cast("long")))))
     df = df.withColumn("__sorted", F.sort_array(windows))
-    high = lambda x: x.bitwiseAND(F.col("__high"))
-    twice = lambda x, i: F.when((high(x) == high(F.get("__sorted", i - 1))) | (high(x) == high(F.get("__sorted", i + 1))), x - high(x)).otherwise(F.lit(-1).cast("long"))
+    hash_at = lambda i: F.get("__sorted", i)["h"]
+    twice = lambda x, i: F.when((x["h"] == hash_at(i - 1)) | (x["h"] == hash_at(i + 1)), x["i"]).otherwise(-1)
     df = df.withColumn("__at", F.sort_array(F.array_remove(F.transform("__sorted", twice), -1)))
-    covered = F.transform("__at", lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("__at", i + 1) - x, F.lit(3).cast("long"))))
-    return df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).drop("__high", "__sorted", "__at")
+    covered = F.transform("__at", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("__at", i + 1) - x, F.lit(3))))
+    return df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).drop("__sorted", "__at")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -56,7 +54,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     return df.select("key", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "entries", F.xxhash64(F.transform(F.filter("entries", lambda x: x["w"] > 0), lambda x: x["h"])).alias("whole"))
 
 
-def frequent_lines(table: DataFrame, least: int = FEW, share: float = SHARE) -> DataFrame:
+def frequent_lines(table: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """host, h of lines above the limits."""
     hosts = table.groupBy("host", "whole").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("documents"))
     lines = exploded(table, "host", "whole").groupBy("host", "h", "whole").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least)
@@ -74,12 +72,12 @@ def _judged(docs: DataFrame, least: int, share: float, most_lost: float) -> Data
     return found.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def quality_rules(docs: DataFrame, least: int = FEW, share: float = SHARE, most_lost: float = MOST_LOST) -> DataFrame:
+def quality_rules(docs: DataFrame, least: int = LEAST, share: float = SHARE, most_lost: float = MOST_LOST) -> DataFrame:
     """A row per document: counts, base_failed, kept, left_words (words after frequent lines are gone)."""
     return _judged(docs, least, share, most_lost).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_words")
 
 
-def clean(docs: DataFrame, least: int = FEW, share: float = SHARE, most_lost: float = MOST_LOST) -> DataFrame:
+def clean(docs: DataFrame, least: int = LEAST, share: float = SHARE, most_lost: float = MOST_LOST) -> DataFrame:
     """The documents that are kept, without their host's frequent lines; all columns of ``docs``."""
     verdicts = _judged(docs, least, share, most_lost).where("kept").groupBy("key").agg(F.first("removed").alias("__removed"))
     keyed = docs.withColumn("__key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit(z)) for c, z in (("doc_id", "\x00"), ("source", ""), ("text", ""))]))
@@ -95,12 +93,12 @@ w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda
 tri AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) i FROM w)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) c FROM tri) WHERE c > 1),
 cov AS (SELECT rid, count(DISTINCT i + o) n FROM rep, (VALUES (0), (1), (2)) v(o) GROUP BY rid),
-l AS (SELECT rid, host, line FROM (SELECT rid, host, unnest(string_split(t, chr(10))) line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l AS (SELECT rid, host, line, pos FROM (SELECT rid, host, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) pos FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) n FROM l GROUP BY rid),
-nl AS (SELECT rid, host, lower(array_to_string(ws, ' ')) x, len(ws) w FROM (SELECT rid, host, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM l)),
-fam AS (SELECT rid, max({{'n': length(x), 'x': x}}) f FROM nl GROUP BY rid),
-hosts AS (SELECT host, count(DISTINCT coalesce(f.x, '')) n FROM d LEFT JOIN fam USING (rid) GROUP BY host),
-freq AS (SELECT nl.host, x, count(DISTINCT f.x) n FROM nl JOIN fam USING (rid) GROUP BY nl.host, x),
+nl AS (SELECT rid, host, pos, lower(array_to_string(ws, ' ')) x, len(ws) w FROM (SELECT rid, host, pos, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM l)),
+whole AS (SELECT rid, string_agg(x, chr(10) ORDER BY pos) f FROM nl GROUP BY rid),
+hosts AS (SELECT host, count(DISTINCT coalesce(f, '')) n FROM d LEFT JOIN whole USING (rid) GROUP BY host),
+freq AS (SELECT nl.host, x, count(DISTINCT f) n FROM nl JOIN whole USING (rid) GROUP BY nl.host, x),
 bad AS (SELECT freq.host, x FROM freq JOIN hosts USING (host) WHERE freq.n > {LEAST} AND freq.n > {SHARE} * hosts.n),
 lost AS (SELECT rid, sum(w) n FROM nl JOIN bad USING (host, x) GROUP BY rid),
 o AS (SELECT w.doc_id, len(ws)::BIGINT n_words, coalesce(length(array_to_string(ws, '')), 0)::BIGINT word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols,

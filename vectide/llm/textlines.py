@@ -1,8 +1,7 @@
 """Lines of a text as arrays of Columns: shared by the operators that count lines across documents.
 
 A line is what stands between line feeds. Its normal form has its words, lower-cased, joined by single
-blanks; lines without a word have none. A document's family is the hash of its longest normal line: copies
-and near copies of a text mostly agree on it, so a text that was copied a thousand times is one family.
+blanks; lines without a word have none.
 """
 
 from __future__ import annotations
@@ -27,11 +26,10 @@ def row_key(*columns: str) -> Column:
 
 
 def with_lines(df: DataFrame, text: str) -> DataFrame:
-    """Adds entries (array of h, w: hash of the normal form and number of words, for every line) and family."""
+    """Adds entries: h, w (hash of the normal form and number of words) of every line, in order."""
     df = df.withColumn("__normal", F.transform(F.split(F.col(text), "\n"), normal))
-    longest = F.array_max(F.transform("__normal", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
     entry = lambda x: F.struct(F.xxhash64(x).alias("h"), F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int").alias("w"))
-    return df.withColumn("entries", F.transform("__normal", entry)).withColumn("family", F.xxhash64(longest["x"])).drop("__normal")
+    return df.withColumn("entries", F.transform("__normal", entry)).drop("__normal")
 
 
 def has_word(line: Column) -> Column:
