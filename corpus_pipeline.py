@@ -51,9 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = documents(spark, sf_dir), set(common.WRITTEN)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = common.write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        # what the stage and the one before wrote has been read for the last time
-        common.drop_tables(spark, [x for x in common.WRITTEN[:-1] if x not in before])
+        with common.Tables(spark) as own:
+            docs = common.write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # what the stage wrote, and its input, has been read for the last time
+        own.drop(but=1)
+        if before:
+            before.drop()
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)
