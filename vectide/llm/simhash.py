@@ -6,20 +6,22 @@ radius are skipped. Population counts are taken for each 16-bit quarter: the dis
 is at least the sum of the differences of their quarters' counts. Blocks of fingerprints go by those
 counts, so most block pairs and tile pairs are skipped.
 
-No fingerprints, links or components are gathered on the driver: it sees the histogram of quarter counts
-(at most 17**4 rows by construction) and one row for each block. A block pair gives a spanning forest of
-its links, not all of them. Components come from alternating large-star and small-star rounds, each written
-to the shared folder.
+No fingerprints, blocks, links or components are gathered on the driver: it sees the histogram of quarter
+counts (at most 17**4 rows by construction). Block pairs come from a join of neighbouring quarter counts, of
+which each has at most 129 within a radius of 3. A block pair gives a spanning forest of its links, not all of
+them. Components come from alternating large-star and small-star rounds, each written to the shared folder.
 
 Defined results: null and empty texts, and texts without a word, have fingerprint zero and link like any
-other; rows that repeat have equal results; a component whose doc_ids are all null has a null id; an
-empty table gives no rows; other columns are ignored.
+other; rows that repeat have equal results; a component whose doc_ids are all null has a null id; a very long
+text is hashed shingle by shingle in one task; of equal doc_ids either row may stay; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import worker_cache, write_table
+from .common import parallelism, worker_cache, write_table
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints in a block (a task holds two) and in a tile (a task holds one tile pair's matrix).
 BLOCK, TILE = 32768, 1024
+#: Pairs of blocks that a task is meant to compare, and tasks at most.
+PAIRS_OF_A_TASK, MOST_TASKS = 4, 100_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -118,16 +122,11 @@ def links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> t
     return nodes[moved], nodes[label[moved]]
 
 
-def _blocks(unique: DataFrame, block: int) -> DataFrame:
-    """Rows (block, fps): distinct fingerprints gathered by their quarter counts, at most about ``block`` in each."""
-    spark = unique.sparkSession
-    quarter = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
-    profile = sum((quarter(k) * 17**k for k in range(1, 4)), quarter(0))
-    keyed = unique.withColumn("profile", profile.cast("int"))
-    # at most 17**4 rows, whatever the input
-    counts = sorted(((r["profile"], r["n"]) for r in keyed.groupBy("profile").agg(F.count("*").alias("n")).collect()), key=lambda x: [x[0] // 17**k % 17 for k in range(4)])
+def _cells(counts: list[tuple[int, int]], block: int) -> list[tuple[int, int, int]]:
+    """(quarter counts, first block, number of blocks) for (quarter counts, fingerprints): neighbours in order share a
+    block up to ``block`` fingerprints, counts with more are spread over some."""
     rows, at, room = [], 0, block
-    for p, n in counts:
+    for p, n in sorted(counts, key=lambda x: [x[0] // 17**k % 17 for k in range(4)]):
         if n > room and room < block:
             at, room = at + 1, block
         spans = -(-n // block)
@@ -135,36 +134,48 @@ def _blocks(unique: DataFrame, block: int) -> DataFrame:
         room -= n
         if spans > 1 or room <= 0:
             at, room = at + spans, block
-    table = spark.createDataFrame(rows, "profile int, first int, spans int")
-    number = F.col("first") + F.pmod(F.xxhash64("fp"), F.col("spans")).cast("int")
-    return keyed.join(table, "profile").select(number.alias("block"), "fp").groupBy("block").agg(F.collect_list("fp").alias("fps"))
+    return rows
+
+
+def _near(cells: DataFrame, radius: int) -> DataFrame:
+    """i, j (i <= j): blocks with quarter counts that differ by ``radius`` at most in all. ``cells`` has profile, first, spans."""
+    # a move and its opposite find the same pairs
+    moves = [m for m in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, m)) <= radius and m >= (0, 0, 0, 0)]
+    placed = cells.select("profile", F.explode(F.expr("sequence(first, first + spans - 1)")).alias("block"))
+    quarter = lambda k: F.pmod(F.floor(F.col("profile") / 17**k), F.lit(17)).cast("int")
+    moved = placed.select(F.col("block").alias("i"), "profile", F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"m{k}") for k, x in enumerate(m)]) for m in moves])).alias("m"))
+    fits = reduce(lambda a, b: a & b, [(quarter(k) + F.col(f"m.m{k}")).between(0, 16) for k in range(4)])
+    left = moved.where(fits).select("i", (F.col("profile") + sum(F.col(f"m.m{k}") * 17**k for k in range(4))).alias("profile"))
+    met = left.join(placed.select("profile", F.col("block").alias("j")), "profile")
+    return met.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
 
 
 def forest_edges(unique: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Links u-v (u < v as signed numbers) that connect whatever is within ``radius``."""
     spark = unique.sparkSession
-    blocks = write_table(_blocks(unique, block), "simhash-blocks")
-
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = [_quarters(np.asarray(x.values).view(np.uint64)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f(x, 0).tolist() for x in q], pa.list_(pa.int32())) for f in (np.min, np.max))], names=["block", "low", "high"])
-
-    met = blocks.mapInArrow(bounds, "block int, low array<int>, high array<int>").collect()  # a row a block
-    low, high = (np.array([r[k] for r in met]).reshape(-1, 4) for k in ("low", "high"))
-    pairs: list[tuple[int, int]] = []
-    for i in range(len(met)):
-        pairs += [(i, int(j)) for j in np.flatnonzero(_apart(low[i], high[i], low, high) <= radius) if j >= i]
-    tasks = [(met[i]["block"], k) for k, p in enumerate(pairs) for i in dict.fromkeys(p)]
-    wanted = spark.createDataFrame(tasks, "block int, pair long")
+    quarter = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
+    profile = sum((quarter(k) * 17**k for k in range(1, 4)), quarter(0))
+    keyed = unique.withColumn("profile", profile.cast("int"))
+    counts = [(r["profile"], r["n"]) for r in keyed.groupBy("profile").agg(F.count("*").alias("n")).collect()]  # at most 17**4 rows, whatever the input
+    cells = spark.createDataFrame(_cells(counts, block), "profile int, first int, spans int")
+    number = F.col("first") + F.pmod(F.xxhash64("fp"), F.col("spans")).cast("int")
+    # the cells are at most 17**4 rows too
+    blocks = write_table(keyed.join(F.broadcast(cells), "profile").select(number.alias("block"), "fp").groupBy("block").agg(F.collect_list("fp").alias("fps")), "simhash-blocks")
+    pairs = write_table(_near(cells, radius), "simhash-pairs")
 
     def compare(table: pa.Table) -> pa.Table:
         fps = [np.asarray(x.values).view(np.uint64) for chunk in table.column("fps").chunks for x in chunk]
+        if len(fps) == 1 and table["i"][0] != table["j"][0]:  # the other block is empty
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         u, v = links(fps[0], fps[1] if len(fps) > 1 else None, radius)
         u, v = u.view(np.int64), v.view(np.int64)
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    return blocks.join(wanted, "block").select("pair", "fps").groupBy("pair").applyInArrow(compare, "u long, v long").distinct()
+    wanted = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    # partitions by the number of pairs: their work isn't told by their bytes
+    tasks = min(max(parallelism(spark), pairs.count() // PAIRS_OF_A_TASK), MOST_TASKS)
+    sides = blocks.join(wanted, "block").select("i", "j", "fps").repartition(tasks, "i", "j")
+    return sides.groupBy("i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
