@@ -39,8 +39,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: Rows of an Arrow batch: texts are long, and a task holds a batch several times over.
+#: Rows and bytes of an Arrow batch: texts are long, and a task holds a batch several times over.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+BATCH_SIZE, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
 
 _CURRENT: ContextVar[Tables | None] = ContextVar("tables", default=None)
 
@@ -71,7 +72,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    settings = {CLEANUP: "true", BATCH: BATCH_ROWS}
+    settings = {CLEANUP: "true", BATCH: BATCH_ROWS, BATCH_SIZE: BATCH_BYTES}
     before = {k: spark.conf.get(k) for k in settings}
     try:
         for k, x in settings.items():

@@ -2,29 +2,30 @@
 
 Every byte goes that a string of ``length`` bytes covers which also starts earlier, by (doc_id, start). The
 strings of a text are its windows. Two equal windows have the same smallest hash among their ``gram``-byte
-strings, so windows are dealt into suffix buckets by that hash, as runs of neighbouring windows (about ``length``
-plus a third bytes for some 35 windows); buckets never need each other.
+strings, and have it first at the same place, so windows are dealt into suffix buckets by that hash, as runs of
+neighbouring windows that have it at one place: at most length - gram + 1 windows, so a run has a bounded size and no
+window twice. Buckets never need each other.
 
 1. Hashes that only one place has can't repeat: they are counted, and only the others' runs go on. Copies of a
    whole text count as one place.
-2. Equal runs are combined before and after the shuffle: all but the earliest repeat in full. A passage or copy
-   that a third of all documents have is one run from there on.
-3. Blocks of whole buckets are sorted one at a time in bounded memory: suffixes by their first ``cover`` bytes, ties
+2. Equal runs are combined within a part of a text, and before and after the shuffle: all but the earliest repeat in
+   full. A passage or copy that a third of all documents have is one run from there on, and so is a period of a text.
+3. A bucket with more than ``hot`` different runs is split by the next smallest hash of each window, which equal
+   windows share too; its runs are combined anew, and so on until all buckets are small.
+4. Blocks of whole buckets are sorted one at a time in bounded memory: suffixes by their first ``cover`` bytes, ties
    by the ranks of a difference-cover sample, which are computed first. Neighbours in that order that share
    ``length`` bytes are the same string.
-4. A bucket with more than ``hot`` different runs isn't sorted in one task: its windows are hashed (128 bits), and
-   the earliest of each is found by aggregation.
 
-Defined results: a null text is empty; texts shorter than ``length`` lose nothing; a null doc_id comes first; rows
-of one doc_id are told apart by their text, and rows that repeat whole get equal results (neither is the earlier);
-an empty table gives no rows; other columns are ignored.
+Defined results: a null text is empty; texts shorter than ``length`` lose nothing; very long texts are taken in
+parts; a null doc_id comes first; rows of one doc_id are told apart by their text, and rows that repeat whole get equal
+results (neither is the earlier); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import parallelism, worker_cache, write_table
 
-LENGTH, GRAM, COVER, HOT = 100, 32, 32, 20_000
+LENGTH, GRAM, COVER, HOT = 100, 32, 32, 8_000
 #: Bytes of runs that are sorted together, and of texts that are hashed together.
 BLOCK, CHUNK = 2 << 20, 1 << 20
 
@@ -141,42 +142,98 @@ def _hash_places(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("t", "data").mapInArrow(run, "t long, m long, twice boolean")
 
 
+RUN = "m long, d long, t long, start long, stop long, run binary"
+
+
+def _run_batch(m: np.ndarray, d: np.ndarray, t: np.ndarray, start: np.ndarray, stop: np.ndarray, parts: list[bytes | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(d), pa.array(t), pa.array(start), pa.array(stop), pa.array(parts, pa.binary())], names=[x.split()[0] for x in RUN.split(", ")])
+
+
+def runs_of(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash, first window and end of the windows of each run, and whether its text has the hash in two places."""
+    h, least, at = minimizers(data, ends, length, gram)
+    new = np.diff(least, prepend=np.uint64(0)) != 0
+    new[1:] |= h[: max(0, len(least) - 1)] == least[:-1]  # the window before began with the smallest
+    starts = np.concatenate(([0], ends[:-1]))
+    new[starts[starts < len(least)]] = True  # a run stops at the end of its text
+    cut = np.flatnonzero(new)
+    doc, m = np.searchsorted(ends, cut, "right"), least[cut]
+    again, hash_, n = _per_text(h, at, ends)
+    again, hash_ = again[n > 1], hash_[n > 1]
+    twice = np.zeros(len(cut), bool)
+    for i in np.unique(again):
+        rows, own = slice(*np.searchsorted(doc, (i, i + 1))), slice(*np.searchsorted(again, (i, i + 1)))
+        twice[rows] = np.isin(m[rows], hash_[own])
+    return doc, m, cut, np.append(cut[1:], len(least)), twice
+
+
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """m, d, t, start, run, twice: maximal runs of windows with one of the hashes in ``wanted``; whether the text has m in two places."""
+    """Runs of windows with one of the hashes in ``wanted``; equal runs of a part of a text are one, the others' bytes are
+    rows without a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, t = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            n_bytes, wanted = np.array([x.as_buffer().size for x in batch.column(2)]), batch.column(3)
+            d, t, wanted = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
             for part_rows, bases, data, ends in _texts(batch, 2, length):
-                h, least, at = minimizers(data, ends, length, gram)
-                again, hash_, n = _per_text(h, at, ends)
-                again, hash_ = again[n > 1], hash_[n > 1]
-                cut = np.flatnonzero(np.diff(least, prepend=np.uint64(0)) != 0)
-                # a run stops at the end of its text
-                starts = np.concatenate(([0], ends[:-1]))
-                cut = np.unique(np.concatenate((cut, starts[starts < len(least)])))
-                stop = np.append(cut[1:], len(least))
-                doc = np.searchsorted(ends, cut, "right")
-                m = least[cut]
-                keep, twice = np.zeros(len(cut), bool), np.zeros(len(cut), bool)
+                doc, m, cut, stop, twice = runs_of(data, ends, length, gram)
+                keep = np.zeros(len(cut), bool)
                 for i in np.unique(doc):
                     rows = slice(*np.searchsorted(doc, (i, i + 1)))
                     keep[rows] = np.isin(m[rows], np.asarray(wanted[int(part_rows[i])].values).view(np.uint64))
-                    own = slice(*np.searchsorted(again, (i, i + 1)))
-                    if own.stop > own.start:
-                        twice[rows] = np.isin(m[rows], hash_[own])
                 keep &= m != 0
-                twice |= n_bytes[part_rows[doc]] > 4 * CHUNK
-                cut, stop, doc, m, twice = cut[keep], stop[keep], doc[keep], m[keep], twice[keep]
-                raw = data.tobytes()
-                parts = [raw[x : y + length - 1] for x, y in zip(cut.tolist(), stop.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(m.view(np.int64)), pa.array(d[part_rows[doc]]), pa.array(t[part_rows[doc]]), pa.array(cut - starts[doc] + bases[doc]), pa.array(parts, pa.binary()), pa.array(twice)],
-                    names=["m", "d", "t", "start", "run", "twice"],
-                )
+                doc, m, cut, stop, twice = doc[keep], m[keep], cut[keep], stop[keep] + length - 1, twice[keep]
+                raw, seen, parts, later = data.tobytes(), set(), [], np.zeros(len(cut), bool)
+                for k, (x, y, check, i) in enumerate(zip(cut.tolist(), stop.tolist(), twice.tolist(), doc.tolist(), strict=True)):
+                    part = raw[x:y]
+                    if check and (i, part) in seen:
+                        later[k] = True
+                        continue
+                    if check:
+                        seen.add((i, part))
+                    parts.append(part)
+                starts = np.concatenate(([0], ends[:-1]))
+                place = lambda i, x: x - starts[i] + bases[i]
+                rows = part_rows[doc]
+                if later.any():
+                    g, a, b = doc[later], cut[later], stop[later]
+                    head = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (a[1:] > b[:-1]))))
+                    g, a, b = g[head], a[head], np.maximum.reduceat(b, head)
+                    yield _run_batch(np.zeros(len(g), np.int64), d[part_rows[g]], t[part_rows[g]], place(g, a), place(g, b), [None] * len(g))
+                doc, rows, first = doc[~later], rows[~later], ~later
+                yield _run_batch(m[first], d[rows], t[rows], place(doc, cut[first]), place(doc, stop[first]), parts)
+
+    return docs.select("d", "t", "data", "wanted").mapInArrow(run, RUN)
 
-    return docs.select("d", "t", "data", "wanted").mapInArrow(run, "m long, d long, t long, start long, run binary, twice boolean")
+
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _split(members: DataFrame, length: int, gram: int) -> DataFrame:
+    """Runs dealt anew by the smallest hash of each window above ``last``."""
+    width = length - gram + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                m, last, d, t, start = (np.asarray(part.column(k)) for k in range(5))
+                runs = part.column(5).to_pylist()
+                sizes = np.array([len(x) for x in runs], np.int64)
+                first = np.cumsum(sizes) - sizes
+                h = _gram_hashes(np.frombuffer(b"".join(runs), np.uint8), gram)
+                owner = np.repeat(np.arange(len(runs)), sizes - length + 1)
+                off = np.arange(len(owner)) - np.repeat(np.cumsum(sizes - length + 1) - (sizes - length + 1), sizes - length + 1)
+                own = np.lib.stride_tricks.sliding_window_view(h, width)[first[owner] + off]
+                none = np.uint64(2**64 - 1)
+                following = np.where(own > last.view(np.uint64)[owner, None], own, none).min(1)
+                cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (following[1:] != following[:-1]))))
+                o, x, y, f = owner[cut], off[cut], off[np.append(cut[1:], len(owner)) - 1] + length, following[cut]
+                mixed = (m.view(np.uint64)[o] ^ (f * _MIX)) * _MIX
+                mixed ^= mixed >> np.uint64(32)
+                parts = [runs[i][a:b] for i, a, b in zip(o.tolist(), x.tolist(), y.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(f.view(np.int64)), pa.array(d[o]), pa.array(t[o]), pa.array(start[o] + x), pa.array(parts, pa.binary())], names=["m", "last", "d", "t", "start", "run"])
+
+    return members.select("m", "last", "d", "t", "start", "run").mapInArrow(run, "m long, last long, d long, t long, start long, run binary")
 
 
 @lru_cache(4)
@@ -313,24 +370,6 @@ def _sorted_blocks(members: DataFrame, length: int, v: int) -> DataFrame:
     return members.select("m", "d", "t", "start", "run").repartition(parallelism(members.sparkSession), "m").sortWithinPartitions("m").mapInArrow(run, SPAN)
 
 
-def _by_hash(members: DataFrame, length: int) -> DataFrame:
-    """The same spans by aggregation over window hashes, however large a bucket is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for d, t, start, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                n = len(data) - length + 1
-                h = np.array([divmod(xxhash.xxh3_128_intdigest(data[i : i + length]), 1 << 64) for i in range(n)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([d] * n), pa.array([t] * n), pa.array(np.arange(start, start + n))], names=["h1", "h2", "d", "t", "a"])
-
-    windows = write_table(members.select("d", "t", "start", "run").mapInArrow(run, "h1 long, h2 long, d long, t long, a long"), "suffix-windows")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("d", "t", "a")).alias("first"))
-    later = windows.join(first, ["h1", "h2"]).where(F.struct("d", "t", "a") != F.col("first"))
-    return later.select("d", "t", "a", (F.col("a") + length).alias("b"))
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, v: int = COVER, hot: int = HOT) -> DataFrame:
     """d, t, a, b: byte spans of the text t of document d (see ``_keyed``) that are repeated; they can overlap."""
     places = write_table(_hash_places(docs.where(F.col("n") >= length), length, gram), "suffix-places")
@@ -338,18 +377,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, v: i
     wanted = write_table(places.join(again, "m", "left_semi").groupBy("t").agg(F.collect_set("m").alias("wanted")), "suffix-wanted")
     copies = write_table(docs.where(F.col("n") >= length).groupBy("t", "n").agg(F.min("d").alias("d")), "suffix-copies")
     chosen = wanted.join(copies, "t").select("t", "d", "wanted")
-    runs = write_table(_runs(docs.join(chosen, ["t", "d"]), length, gram).withColumn("h", F.xxhash64("run")).withColumn("size", F.octet_length("run")), "suffix-runs")
-    earliest = runs.groupBy("m", "h", "size").agg(F.min(F.struct("d", "t", "start")).alias("first"))
-    is_first = F.struct("d", "t", "start") == F.col("first")
-    placed = runs.join(earliest, ["m", "h", "size"]).select("m", "d", "t", "start", "size", "twice", is_first.alias("is_first"), F.when(is_first, F.col("run")).alias("run"))
-    placed = write_table(placed, "suffix-first")
-    members = placed.where("is_first").select("m", "d", "t", "start", "run")
-    # a bucket with one run has repeats only if its hash is there twice
-    buckets = write_table(placed.where("is_first").groupBy("m").agg(F.count("*").alias("k"), F.max("twice").alias("twice")).where("k > 1 OR twice").select("m", "k"), "suffix-buckets")
+    runs = write_table(_runs(docs.join(chosen, ["t", "d"]), length, gram), "suffix-runs")
     whole = docs.join(copies.withColumnRenamed("d", "d0"), ["t", "n"]).where("d > d0").select("d", "t", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
-    equal = placed.where(~F.col("is_first")).select("d", "t", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    of = lambda p: members.join(buckets.where(p).select("m"), "m", "left_semi")
-    return whole.union(equal).union(_sorted_blocks(of(F.col("k") <= hot), length, v)).union(_by_hash(of(F.col("k") > hot), length))
+    spans = [whole, runs.where("run IS NULL").select("d", "t", F.col("start").alias("a"), F.col("stop").alias("b"))]
+    members = runs.where("run IS NOT NULL").select("m", F.col("m").alias("last"), "d", "t", "start", "run")
+    for level in range(length - gram + 1):  # a window has no more hashes
+        members = members.withColumn("h", F.xxhash64("run")).withColumn("size", F.octet_length("run"))
+        earliest = members.groupBy("m", "h", "size").agg(F.min(F.struct("d", "t", "start")).alias("first"))
+        is_first = F.struct("d", "t", "start") == F.col("first")
+        placed = members.join(earliest, ["m", "h", "size"]).select("m", "last", "d", "t", "start", "size", is_first.alias("is_first"), F.when(is_first, F.col("run")).alias("run"))
+        placed = write_table(placed, "suffix-first")
+        spans.append(placed.where(~F.col("is_first")).select("d", "t", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")))
+        # a run has no window twice, so a bucket with one run has no repeats
+        buckets = write_table(placed.where("is_first").groupBy("m").agg(F.count("*").alias("k")).where("k > 1"), "suffix-buckets")
+        of = lambda p, placed=placed, buckets=buckets: placed.where("is_first").join(buckets.where(p).select("m"), "m", "left_semi")
+        large = F.col("k") > hot
+        if level == length - gram or buckets.where(large).isEmpty():
+            spans.append(_sorted_blocks(of(F.lit(True)), length, v))
+            break
+        spans.append(_sorted_blocks(of(~large), length, v))
+        members = write_table(_split(of(large), length, gram), "suffix-split")
+    return reduce(DataFrame.union, spans)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
