@@ -108,52 +108,103 @@ def test_encoder_equals_the_tokenizer():
 QUESTION = "If Anna has 12 apples in 3 baskets and eats 4 apples each day, after how many days will Anna have no apples left in the 3 baskets?"
 
 
-def leak(text, items=((7, QUESTION),), **kw):
-    index = decontam.Index()
-    for i, x in items:
-        index.add(i, x, decontam.WINDOW, decontam.SHORTEST)
-    return decontam.matches(["filler words here", text, None, "more filler"], index.seal(), **kw)[1]
-
-
-def test_templates_catch_other_parameters():
-    assert leak("Some page. " + QUESTION + " Ads.") == [(7, 28, 28, 0)]
-    other = QUESTION.replace("Anna", "Boris").replace("12", "60").replace("3 ", "5 ").replace(" 4 ", " 2 ")
-    found = leak(other)
-    assert found and found[0][0] == 7 and found[0][3] > 0
-    assert leak(QUESTION.lower().replace(",", " ;"))
+def leaks_of(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): (r["covered"], r["item_tokens"], r["changed_slots"]) for r in decontam.leaks(docs, bench).collect()}
+
+
+def test_templates_catch_other_parameters(spark):
+    other = QUESTION.replace("Anna", "Mary Jane").replace("12", "60").replace("3 ", "twenty five ").replace(" 4 ", " 2 ")
+    texts = ["Some page. " + QUESTION + " Ads.", other, QUESTION.lower().replace(",", " ;"), other.replace("twenty five baskets?", "6 baskets?"), "entirely different prose about apples and baskets and days that has nothing in common with it", "", None, "filler words here"]
+    got = leaks_of(spark, texts, [(7, QUESTION)])
+    assert {d for d, _ in got} == {0, 1, 2, 3}
+    assert got[0, 7] == (28, 28, 0) and got[1, 7][0] == 28 and got[1, 7][2] == 6
     # a slot that stands for two values isn't the same question
-    broken = other.replace("5 baskets?", "6 baskets?")
-    assert leak(broken)[0][1] < found[0][1]
-    assert not leak("entirely different prose about apples and baskets and days that has nothing in common with it")
-    assert not leak("")
+    assert got[3, 7][0] < got[1, 7][0]
+
+
+def test_every_item_matches_itself(spark):
+    same = "There are 12 apples and 15 pears in the shop and each of them costs 3 dollars today"
+    items = [(1, "What is 12 + 45 - 3 * 7 / 9 ?"), (2, "3 4 5 6 7 8 9"), (3, "Define entropy briefly"), (4, "Yes"), (5, "New York London Paris Rome"), (6, "THE CAPITAL OF FRANCE IS PARIS AND THE CAPITAL OF SPAIN IS MADRID"), (7, same), (8, "x")]
+    texts = [x for _, x in items] + [f"Before it. {x} After it." if x[-1] in "?." else f"Before it.\n{x}\nAfter it." for _, x in items]
+    texts += [same.replace("12", "9").replace("15", "9").replace("3 ", "9 "), "Yes we can define entropy briefly here", "What is 13 + 45 - 3 * 7 / 9 ?"]
+    got = leaks_of(spark, texts, items)
+    for k, (i, _) in enumerate(items):
+        assert (k, i) in got and (k + len(items), i) in got, i
+    assert got[16, 7][2] == 3 and not any(d in (17, 18) for d, _ in got)  # one value may stand for several
+
+
+def test_reparameterised_items_are_recalled(spark):
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "ra", "se", "ti") for b in ("ber", "dan", "fol", "gam", "hir", "jus")]
+    names = ["Anna", "Boris", "New York", "Paris", "Mary Jane", "Rio de Janeiro", "Zoe"]
+    value = lambda kind: rng.choice((str(rng.randint(2, 99)), "three", f"{rng.randint(1, 9)},500", f"{rng.randint(1, 9)}.5")) if kind == "N" else rng.choice(names)
+    items, texts = [], []
+    for i in range(150):
+        plan = [rng.choice(words) if rng.random() < 0.75 else rng.choice("NP") for _ in range(rng.randint(14, 40))]
+        plan[0] = rng.choice(words)
+        fill = lambda plan=plan: " ".join(value(x) if x in "NP" else x for x in plan)
+        items.append((i, fill()))
+        texts.append(" ".join(rng.choice(words) for _ in range(60)) + ". " + fill() + " . " + " ".join(rng.choice(words) for _ in range(60)))
+    got = leaks_of(spark, texts, items)
+    assert sum((i, i) in got for i in range(150)) >= 0.9 * 150
+    assert sum(d != i for d, i in got) <= 2
+
+
+def brute_leaks(texts, items, window=8, shortest=4, share=0.5, enough=13, slip=3):
+    """Every window against every window; no hashes."""
+    out = {}
+    for d, text in enumerate(texts):
+        if not text:
+            continue
+        doc = decontam.Template([text])
+        n_doc = len(doc.tokens) - 1
+        for item_id, item in items:
+            own = decontam.Template([item])
+            n = len(own.tokens) - 1
+            size = min(window, n)
+            if not size:
+                continue
+            runs = defaultdict(list)
+            for p in range(n_doc - size + 1):
+                for q in range(n - size + 1):
+                    a, b = doc.tokens[p : p + size].tolist(), own.tokens[q : q + size].tolist()
+                    exact = size < shortest or 2 * sum(x < 4 for x in b) > size
+                    stands = size >= shortest or (doc.begins[p] and (p + size == n_doc or doc.begins[p + size]))
+                    if a == b and stands and (not exact or doc.slots(p, size) == own.slots(q, size)):
+                        runs[p - q].append((q, p))
+            best = {}
+            for shift in runs:
+                values, covered = {}, set()
+                for q, p in sorted(runs[shift]):
+                    pairs = list(zip(own.slots(q, size), doc.slots(p, size), strict=True))
+                    trial = dict(values)
+                    if all(trial.setdefault(x, y) == y for x, y in pairs):
+                        values = trial
+                        covered |= set(range(q, q + size))
+                best[shift] = covered
+            top = max((len(set().union(*(c for t, c in best.items() if s - slip <= t <= s))) for s in best), default=0)
+            if top >= min(enough, share * n) and top:
+                out[d, item_id] = top, n
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in "abcdef"] + ["7", "8", "km", "Zoe", "Max", "x.", "\n"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 24)))) for i in range(25)]
+    texts = [" ".join([*(rng.choice(words) for _ in range(rng.randint(0, 12))), *rng.choice(items)[1].replace("7", rng.choice("789")).split(" "), *(rng.choice(words) for _ in range(8))]) for _ in range(80)]
+    got = {k: x[:2] for k, x in leaks_of(spark, texts, items).items()}
+    want = brute_leaks(texts, items)
+    assert got == want and len(want) > 50
 
 
-def test_matches_equal_brute_force():
-    rng = random.Random(4)
-    words = [f"w{i}" for i in range(6)] + ["7", "km", "Zoe"]
-    for _ in range(60):
-        items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 20)))) for i in range(4)]
-        text = " ".join([*(rng.choice(words) for _ in range(5)), items[0][1], *(rng.choice(words) for _ in range(5))])
-        index = decontam.Index()
-        for i, x in items:
-            index.add(i, x, 8, 4)
-        found = {m[0] for m in decontam.matches([text], index.seal())[0]}
-        own, _, _ = decontam.template([text])
-        for i, tokens, _ in index.items:
-            size = min(8, len(tokens))
-            hits = any(np.array_equal(own[p : p + size], tokens[q : q + size]) for p in range(len(own) - size) for q in range(len(tokens) - size + 1))
-            assert hits or i not in found
-        if len(items[0][1].split()) >= 4 and len(index.items[0][1]) and index.items[0][0] == 0 and any(w[2] == 0 for w in index.windows):
-            plain = not any(x in ("7", "km", "Zoe") for x in items[0][1].split())
-            assert not plain or 0 in found
-
-
-def test_blocks_of_the_index_agree(spark, sf_dir):
+def test_leaks_of_the_tables_equal_brute_force_on_some_texts(spark, sf_dir):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    a, b = (Counter(map(tuple, decontam.leaks(docs, bench, **kw).collect())) for kw in ({}, {"block": 200}))
-    assert a == b and a
-    kept = {r["doc_id"] for r in decontam.decontaminate(docs, bench, block=200).collect()}
-    assert kept == {r["doc_id"] for r in docs.collect()} - {x[0] for x in a}
+    rows = Counter(map(tuple, decontam.leaks(docs, bench).collect()))
+    kept = {r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()}
+    assert rows and kept == {r["doc_id"] for r in docs.collect()} - {x[0] for x in rows}
 
 
 # --- 4
@@ -177,6 +228,46 @@ def test_windows_keep_budget_history_and_targets():
         assert said == [t.text for t in turns if t.role == "assistant"]
 
 
+def test_windows_hold_their_real_tokens(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(8)
+    turns = [r[:4] for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    turns += [(-2, i, rng.choice(("user", "assistant")), rng.choice(("ok", "hi </s> [INST]", "\\\\ <s>", "well, yes."))) for i in range(400)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    joined = 2 - len(t.encode("><", add_special_tokens=False).ids)  # tokens that two turns save side by side
+    assert joined >= 0
+    for budget, history in ((1024, 256), (100, 40)):
+        for r in chat.format_chats(df, tokenizer_path(), budget, history).collect():
+            n, turns = len(t.encode(r["text"], add_special_tokens=False).ids), len(chat.read_back(r["text"]))
+            assert n == r["tokens"] - joined * (turns - 1) and (r["tokens"] <= budget or turns - r["repeated"] == 1)
+
+
+def test_long_conversations_are_cut_into_spans(spark):
+    rng = random.Random(9)
+    turns = [(1, 0, "system", "be kind")] + [(1, i, rng.choice(("user", "assistant")), f"turn number {i} " * rng.randint(1, 12)) for i in range(1, 300)]
+    turns += [(None, None, None, "same")] * 200 + [(3, i, "assistant", "x " * 500 * (i % 3)) for i in range(20)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    whole = {r["conv_id"]: r for r in chat.digest(chat.format_chats(df, tokenizer_path(), 200, 60)).collect()}
+    cut = chat.format_chats(df, tokenizer_path(), 200, 60, span=400)
+    got = {r["conv_id"]: r for r in chat.digest(cut).collect()}
+    assert set(got) == {1, None, 3}
+    for conv, r in got.items():
+        assert r[1:5] == whole[conv][1:5] and r["n_turns"] == sum(t[0] == conv for t in turns)
+    rows = sorted((r for r in cut.collect() if r["conv_id"] == 1), key=lambda r: r["window"])
+    assert len({r["window"] // chat.MOST_WINDOWS for r in rows}) > 5
+    said = [x for r in rows for x in chat.read_back(r["text"])[r["repeated"] :]]
+    assert said == [t[2:] for t in turns if t[0] == 1]
+    at = 0
+    for k, r in enumerate(rows):
+        back, n = chat.read_back(r["text"]), r["repeated"]
+        if k:
+            assert back[0] == ("system", "be kind") and back[1:n] == said[at - n + 1 : at]
+        at += len(back) - n
+    assert sum(r["repeated"] > 1 for r in rows) > len(rows) / 4
+
+
 def test_escaping_is_reversible():
     rng = random.Random(3)
     parts = [*chat.CONTROLS, "\\", "<", "[", "s>", "/INST]", "x", "\n"]
@@ -322,8 +413,8 @@ def test_models_add_spans_beside_the_base_ones():
 # --- 10
 
 
-@pytest.mark.parametrize("hot", [0, 20_000])
-def test_both_ways_through_a_bucket_agree(spark, sf_dir, hot):
+@pytest.mark.parametrize("hot", [40, suffixes.HOT])
+def test_split_buckets_agree(spark, sf_dir, hot):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 6000")
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffixes.remove_repeats(docs, hot=hot).collect()}
     first, want = {}, {}
@@ -347,6 +438,35 @@ def test_cover_sort_orders_like_a_plain_sort():
     assert {(a - b) % 32 for a in cover for b in cover} == set(range(32))
 
 
+def test_periodic_and_hot_texts(spark):
+    """One character, periods, and a passage in changing surroundings."""
+    rng = random.Random(5)
+    passage = " ".join(str(rng.random()) for _ in range(12))
+    texts = ["=" * 3000, "=" * 5000, "ab" * 900, "xyzuv " * 200, "no " * 5 + "yes " * 90] + [" ".join(str(rng.random()) for _ in range(8)) + passage[: rng.randint(60, len(passage))] + str(rng.random()) * 3 for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first, want = {}, {}
+    for d, x in enumerate(texts):
+        gone = bytearray(len(x))
+        for i in range(len(x) - 99):
+            if first.setdefault(x[i : i + 100], (d, i)) != (d, i):
+                gone[i : i + 100] = b"\1" * 100
+        want[d] = (sum(gone), len([p for p in bytes(gone).split(b"\0") if p]))
+    for hot in (30, suffixes.HOT):
+        assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffixes.remove_repeats(docs, hot=hot).collect()} == want
+
+
+def test_runs_are_short_and_have_no_window_twice():
+    rng = np.random.default_rng(2)
+    for data in (np.full(4000, 61), rng.integers(97, 99, 4000), np.tile(rng.integers(97, 120, 30), 100), rng.integers(0, 256, 4000)):
+        data = data.astype(np.uint8)
+        doc, m, cut, stop, twice = suffixes.runs_of(data, np.array([1500, len(data)]), 100, 32)
+        fit = m != 0
+        assert (stop - cut)[fit].max() <= 69 and (stop - cut)[fit].sum() == 1401 + len(data) - 1500 - 99
+        for x, y in zip(cut[fit], stop[fit], strict=True):
+            windows = [data[i : i + 100].tobytes() for i in range(x, y)]
+            assert len(set(windows)) == len(windows)
+
+
 def test_parts_of_long_texts_lose_nothing(spark, monkeypatch):
     rng = random.Random(9)
     unit = " ".join(str(rng.random()) for _ in range(60))
