@@ -154,26 +154,38 @@ class Template:
 
     def hashes(self, size: int, shortest: int) -> np.ndarray:
         """A hash for each window of ``size`` tokens; 0 where none counts."""
-        got = _window_hashes(self.tokens, size)
-        exact = _window_hashes(self.values, size)
+        n = len(self.tokens) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
         if size < shortest:
-            ends = np.append(self.begins[1:], True) | np.append(self.tokens[1:] == END, True)
-            return np.where(self.begins[: len(got)] & ends[size - 1 :], exact ^ _SENTENCE, np.uint64(0))
-        words = np.concatenate(([0], np.cumsum(self.tokens >= END)))
-        return np.where(2 * (words[size:] - words[:-size]) >= size, got, exact ^ _EXACT) if len(got) else got
-
-
-def _window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
-    """A hash for each run of ``size`` tokens."""
-    n = len(tokens) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    got = np.zeros(n, np.uint64)
-    for j in range(size):
-        got += tokens[j : j + n] * _FACTORS[j % 64]
+            at = np.flatnonzero(self.begins[:n] & (np.append(self.begins[1:], True) | np.append(self.tokens[1:] == END, True))[size - 1 :])
+            got = np.zeros(n, np.uint64)
+            got[at] = _window_hashes(self.values, at, size) ^ _SENTENCE
+            return got
+        got = _window_hashes(self.tokens, slice(0, n), size)
+        slots = np.cumsum(self.tokens < END, dtype=np.int32)
+        few = 2 * (slots[size - 1 :] - np.concatenate(([0], slots[: n - 1]))) > size
+        at = np.flatnonzero(few)
+        got[at] = _window_hashes(self.values, at, size) ^ _EXACT
+        return got
+
+
+def _window_hashes(tokens: np.ndarray, at: slice | np.ndarray, size: int) -> np.ndarray:
+    """A hash for the runs of ``size`` tokens that begin at these places: a range, or some."""
+    if isinstance(at, slice):
+        got = tokens[at] * _FACTORS[0]
+        term = np.empty_like(got)
+        for j in range(1, size):
+            np.multiply(tokens[at.start + j : at.stop + j], _FACTORS[j % 64], out=term)
+            got += term
+    else:
+        got = np.zeros(len(at), np.uint64)
+        for j in range(size):
+            got += tokens[at + j] * _FACTORS[j % 64]
     got ^= got >> np.uint64(31)
     got *= np.uint64(0x9E3779B97F4A7C15)
-    return got ^ (got >> np.uint64(29))
+    got ^= got >> np.uint64(29)
+    return got
 
 
 WINDOWS = "item long, item_id long, item_tokens long, size int, h long, q long, tokens array<long>, slots array<string>"
