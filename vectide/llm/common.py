@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -95,6 +96,14 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small fixed table, as an expression: rows of strings."""
+    names = columns.split()
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kind = "array<struct<" + ", ".join(f"{n}: string" for n in names) + ">>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), kind)).alias("r")).select("r.*")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
