@@ -1,13 +1,16 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Which pieces share a sequence depends on lengths alone, so the plan is made on the histogram of lengths:
-at most ``capacity`` counters, however many documents there are. Every piece then finds its place from
-its rank among the pieces of its length. Ranks come from per-partition counters, written with the pieces,
+at most ``capacity`` counters, however many documents there are. An index has the single lengths, pairs and triples
+by their sum. First each length, from the longest, consumes the combinations that fill its gap exactly, as often as
+the counts of lengths left allow; what remains goes by best fit, and gaps that it leaves are looked up again. Every
+piece then finds its place from its rank among the pieces of its length. Ranks come from per-partition counters, written with the pieces,
 and prefix sums over (partition, length), so that a length which a third of all pieces have is never
 gathered in one task.
 
-Defined results: a null or empty text is the end token alone; rows that repeat (also whole rows) are
-documents of their own; an empty table gives no rows; other columns are ignored.
+Defined results: a null or empty text is the end token alone; a very long text is cut into pieces that each find
+their own place; rows that repeat (also whole rows) are documents of their own; which of equal lengths stands where is
+arbitrary; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,66 +34,93 @@ CAPACITY, END_ID = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
 
+class SumIndex:
+    """Pairs and triples of lengths by their sum: at most capacity**2 / 4 pairs (a >= b), and as triples for each sum the
+    greatest lengths a that leave the sum of a pair."""
+
+    def __init__(self, lengths: list[int], capacity: int):
+        x = np.array(sorted(lengths, reverse=True), np.int16 if capacity < 1 << 15 else np.int32)
+        up = x[::-1]
+        # b from the largest that fits beside a
+        below = [up[: np.searchsorted(up, min(int(a), capacity - int(a)), "right")] for a in x]
+        a, b = np.repeat(x, [len(y) for y in below]), np.concatenate([*below, x[:0]])
+        self.pair_at, (self.a, self.b) = self._by_sum(a, b, capacity)
+        sums = np.flatnonzero(np.diff(self.pair_at)).astype(x.dtype)
+        rests = [sums[: np.searchsorted(sums, min(2 * int(a), capacity - int(a)), "right")] for a in x]
+        a, rest = np.repeat(x, [len(y) for y in rests]), np.concatenate([*rests, x[:0]])
+        self.triple_at, (self.first, _) = self._by_sum(a, rest, capacity)
+
+    @staticmethod
+    def _by_sum(a: np.ndarray, b: np.ndarray, capacity: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        total = a.astype(np.int32) + b
+        order = np.argsort(total, kind="stable")  # the greatest a first in each sum
+        return np.searchsorted(total[order], np.arange(capacity + 2)), (a[order], b[order])
+
+    def pair(self, total: int, counts: np.ndarray, most: int) -> tuple[int, int] | None:
+        """The pair with the greatest length of at most ``most`` that counts allow."""
+        if total <= 0:
+            return None
+        own = slice(self.pair_at[total], self.pair_at[total + 1])
+        a, b = self.a[own], self.b[own]
+        fits = np.flatnonzero((a <= most) & (counts[a] > (a == b)) & (counts[b] > 0))
+        return (int(a[fits[0]]), int(b[fits[0]])) if len(fits) else None
+
+    def triple(self, total: int, counts: np.ndarray) -> tuple[int, int, int] | None:
+        own = self.first[self.triple_at[total] : self.triple_at[total + 1]]
+        for a in own[counts[own] > 0].tolist():
+            counts[a] -= 1
+            found = self.pair(total - a, counts, a)
+            counts[a] += 1
+            if found:
+                return a, *found
+        return None
+
+
 class _Planner:
     """Fills sequences of ``capacity`` from counts of lengths; everything goes by counts, never by piece."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, most: int = 3):
-        self.capacity, self.most = capacity, most
-        self.counts = [0] * (capacity + 1)
+    def __init__(self, counts: dict[int, int], capacity: int, index: SumIndex, most: int = 3, exact: bool = True):
+        self.capacity, self.index, self.most, self.exact = capacity, index, most, exact
+        self.counts = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.counts[length] = n
-        self.have = self.mirror = 0  # bit x, and bit capacity - x, of each length x that is left
-        for x in range(1, capacity + 1):
-            if self.counts[x]:
-                self._bit(x, True)
+        self.none: set[int] = set()  # sums that nothing left adds up to; counts only fall
         self.patterns: list[tuple[int, tuple[int, ...]]] = []
         self.open: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
         self.gaps: list[int] = []
 
-    def _bit(self, x: int, on: bool) -> None:
-        a, b = 1 << x, 1 << (self.capacity - x)
-        self.have = self.have | a if on else self.have & ~a
-        self.mirror = self.mirror | b if on else self.mirror & ~b
-
     def _take(self, x: int, n: int) -> None:
         self.counts[x] -= n
-        if not self.counts[x]:
-            self._bit(x, False)
 
     def _times(self, items: tuple[int, ...]) -> int:
         """How often the lengths left allow these items."""
-        return min(self.counts[x] // items.count(x) for x in set(items))
-
-    def _pairs(self, total: int) -> int:
-        """Bits of the lengths y left for which total - y is left too."""
-        return self.have & (self.mirror >> (self.capacity - total)) if total > 1 else 0
-
-    def _pair(self, total: int, first: tuple[int, ...] = ()) -> tuple[int, ...] | None:
-        bits = self._pairs(total)
-        while bits:
-            y = bits.bit_length() - 1
-            if 2 * y < total:
-                return None
-            if self._times(items := (*first, y, total - y)):
-                return items
-            bits &= ~(1 << y)
-        return None
+        return min(int(self.counts[x]) // items.count(x) for x in set(items))
 
     def _complement(self, gap: int) -> tuple[int, ...] | None:
         """Up to ``most`` (one, two or three) lengths left that add up to gap; the largest lengths first."""
         if self.counts[gap]:
             return (gap,)
-        if self.most > 1 and (found := self._pair(gap)):
-            return found
-        bits = self.have & ((1 << (gap - 1)) - 1) if gap > 2 and self.most > 2 else 0
-        while bits:
-            x = bits.bit_length() - 1
-            if 3 * x < gap:
-                return None
-            if self._pairs(gap - x) and (found := self._pair(gap - x, (x,))):
-                return found
-            bits &= ~(1 << x)
-        return None
+        if gap in self.none:
+            return None
+        found = self.index.pair(gap, self.counts, gap) if self.most > 1 else None
+        if not found and self.most > 2:
+            found = self.index.triple(gap, self.counts)
+        if not found:
+            self.none.add(gap)
+        return found
+
+    def _beside(self, length: int) -> tuple[int, ...] | None:
+        """The exact complement of one piece of this length."""
+        gap = self.capacity - length
+        if not gap:
+            return ()
+        self.counts[length] -= 1
+        known = gap in self.none
+        found = self._complement(gap)
+        if not known:
+            self.none.discard(gap)  # the piece set aside could be part of it elsewhere
+        self.counts[length] += 1
+        return found
 
     def _shut(self, gap: int, n: int, items: tuple[int, ...]) -> None:
         """n sequences hold items and lack gap: fill exactly while lengths allow, leave the rest open."""
@@ -109,10 +139,22 @@ class _Planner:
             insort(self.gaps, gap)
         self.open[gap].append((n, items))
 
+    def _fill_exactly(self) -> None:
+        """Each length, from the longest, with the combinations that fill its gap."""
+        for length in range(self.capacity, 0, -1):
+            while self.counts[length] and (found := self._beside(length)) is not None:
+                items = (length, *found)
+                k = self._times(items)
+                for x in items:
+                    self._take(x, k)
+                self.patterns.append((k, items))
+
     def plan(self) -> list[tuple[int, tuple[int, ...]]]:
         """(how many sequences, lengths in order) for all sequences."""
+        if self.exact:
+            self._fill_exactly()
         for length in range(self.capacity, 0, -1):
-            while n := self.counts[length]:
+            while n := int(self.counts[length]):
                 at = bisect_left(self.gaps, length)
                 if at < len(self.gaps):  # the tightest open sequence
                     gap = self.gaps[at]
@@ -131,20 +173,14 @@ class _Planner:
                     self._take(length, n)
                     self._shut(self.capacity - length, n, (length,))
                     continue
-                # try one beside its exact complement before filling sequences with equal lengths
-                self._take(length, 1)
-                if found := self._complement(self.capacity - length):
-                    self.counts[length] += 1
-                    self._bit(length, True)
-                    k = max(1, self._times((length, *found)))
-                    if self._times((length, *found)):
-                        for x in (length, *found):
-                            self._take(x, k)
-                        self.patterns.append((k, (length, *found)))
-                        continue
-                    self._take(length, 1)
-                self.counts[length] += 1
-                self._bit(length, True)
+                # one beside its exact complement before sequences of equal lengths
+                if found := self._beside(length):
+                    items = (length, *found)
+                    k = self._times(items)
+                    for x in items:
+                        self._take(x, k)
+                    self.patterns.append((k, items))
+                    continue
                 most = self.capacity // length
                 each, k = (most, n // most) if n >= most else (n, 1)
                 self._take(length, each * k)
@@ -157,11 +193,21 @@ class _Planner:
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
     """Sequences for ``counts`` pieces of each length, as (number of sequences, lengths in them).
 
-    Taking triples early can cost a later pair, so complements of up to three, two and one lengths are planned, and
-    the plan with the fewest sequences is taken.
+    Taking triples early can cost a later pair, and filling long pieces first can cost the short ones that others need:
+    plans with complements of up to three, two and one lengths, before best fit and beside it, are made, and the one
+    with the fewest sequences is taken.
     """
-    plans = [_Planner(counts, capacity, most).plan() for most in (3, 2, 1)]
-    return min(plans, key=lambda plan: sum(n for n, _ in plan))
+    index = SumIndex(list(counts), capacity)
+    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best: list[tuple[int, tuple[int, ...]]] | None = None
+    for exact in (True, False):
+        for most in (3, 2, 1):
+            plan = _Planner(counts, capacity, index, most, exact).plan()
+            if best is None or sum(n for n, _ in plan) < sum(n for n, _ in best):
+                best = plan
+            if sum(n for n, _ in best) == least:
+                return best
+    return best
 
 
 def _places(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
