@@ -1,19 +1,23 @@
 """Secret scans: base patterns, and character Markov models for what they miss.
 
 Two kinds of first-order Markov models are trained from labelled samples: of random strings, one for each
-alphabet that keys are drawn from, and of ordinary identifiers. A run of key characters that has a letter and a
-digit is a secret if the best random model is more likely than the ordinary one by ``threshold`` nats. Spans of the
-base patterns always stay; the models add spans beside them.
+alphabet that keys are drawn from, and of ordinary identifiers: the public names of modules that are installed here
+(``MODULES``, at most ``samples`` of them), and compounds of their parts. A run of key characters is a secret if the
+best random model is more likely than the ordinary one by ``threshold`` nats. Its segments between separators are
+judged by themselves too, so that of a path with a key in it just the key is found. Runs of letters alone need capitals
+and small letters and ``LETTERS`` nats. Spans of the base patterns always stay; the models add spans beside them.
 
 Scans go row by row over whole texts, without a shuffle.
 
-Defined results: null and empty texts have no spans; rows that repeat give rows that repeat; an empty table gives
-no rows; other columns are ignored.
+Defined results: null and empty texts have no spans; very long texts are scanned whole; spans that start together
+are in the order of KINDS; rows that repeat give rows that repeat; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib
 import random
 import re
 from collections.abc import Iterator
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import worker_cache
 
-THRESHOLD, SHORTEST, SAMPLES = 14.0, 20, 4000
+THRESHOLD, LETTERS, SHORTEST, SAMPLES = 14.0, 24.0, 20, 4000
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -35,14 +39,13 @@ KINDS = ("assign", "access", "hex", "markov")
 _HINTS = ("passw", "secret", "token", "api")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
-# Parts of ordinary identifiers, as labelled samples are made of them.
-PARTS = (
-    "get set user name file path read write open close list item node tree index table column row value key map data time date start end first last count size total average min max "
-    "load save parse format string number integer float double array vector matrix image model train test result error message handler request response server client session config "
-    "option default update delete insert select create remove find search sort filter merge split join group order page view button label color width height offset length buffer "
-    "stream socket thread process worker queue task event listener callback factory builder manager service controller module package class method function argument parameter return "
-    "version release build docker image kernel memory cache disk network host port address email phone account order invoice payment customer product category report summary detail"
-).split()
+#: Modules whose public names are labelled as ordinary.
+MODULES = (
+    "argparse", "ast", "asyncio", "calendar", "collections", "concurrent.futures", "configparser", "csv", "datetime", "decimal", "email.message", "fractions", "functools", "gzip", "http.client", "inspect", "io", "ipaddress", "itertools",
+    "json", "locale", "logging.handlers", "mailbox", "multiprocessing", "os", "pathlib", "pickle", "platform", "queue", "random", "selectors", "shutil", "socket", "sqlite3", "ssl", "statistics", "string", "subprocess", "tarfile", "tempfile",
+    "threading", "tokenize", "traceback", "types", "typing", "unittest", "urllib.request", "uuid", "xml.dom.minidom", "zipfile", "numpy", "pyarrow", "pyspark.sql", "pyspark.sql.functions", "pyspark.sql.types",
+)
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 ALPHABETS = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
@@ -58,10 +61,27 @@ for _i, _c in enumerate(_CHARS):
     _CODE[ord(_c)] = _i + 1
 
 
-def ordinary_samples(n: int, seed: int, parts: list[str] = PARTS) -> list[str]:
-    """Identifiers, paths, versions and dates put together from parts."""
+def public_names(modules: tuple[str, ...] = MODULES) -> list[str]:
+    """Public names of modules and of the classes in them."""
+    found: set[str] = set()
+    for name in modules:
+        try:
+            module = importlib.import_module(name)
+        except ImportError:  # not installed, or not for this platform
+            continue
+        found.update(name.split("."))
+        for x in dir(module):
+            found.add(x)
+            if isinstance(own := getattr(module, x, None), type):
+                found.update(dir(own))
+    return sorted(x for x in found if x.isascii() and not x.startswith("_") and len(x) > 1)
+
+
+def ordinary_samples(n: int, seed: int, names: list[str]) -> list[str]:
+    """At most ``n`` of the names, and as many identifiers, paths, versions and dates put together from their parts."""
     rng = random.Random(seed)
-    out = []
+    parts = sorted({y.lower() for x in names for y in _PART.findall(x) if len(y) > 1})
+    out = sorted(names, key=lambda x: hashlib.md5(f"{seed}{x}".encode()).digest())[:n]
     for _ in range(n):
         words = [rng.choice(parts) for _ in range(rng.randint(2, 6))]
         if rng.random() < 0.5:
@@ -112,10 +132,27 @@ def train(ordinary: list[str], randoms: list[list[str]]) -> Models:
 
 def trained(samples: int = SAMPLES, seed: int = 1) -> Models:
     """Models from ``samples`` labelled samples of each kind."""
-    return train(ordinary_samples(samples, seed), [random_samples(samples, seed + k, a) for k, a in enumerate(ALPHABETS)])
+    return train(ordinary_samples(samples, seed, public_names()), [random_samples(samples, seed + k, a) for k, a in enumerate(ALPHABETS)])
 
 
-def spans(text: str | None, models: Models, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
+def _is_key(x: str, models: Models, threshold: float, letters: float) -> bool:
+    kinds = [any(f(c) for c in x) for f in (str.isdigit, str.isupper, str.islower)]
+    if kinds[0] and (kinds[1] or kinds[2]):
+        return models.ratio(x) > threshold
+    return kinds[1] and kinds[2] and models.ratio(x) > letters
+
+
+def _keys(run: re.Match, models: Models, threshold: float, letters: float, shortest: int) -> list[tuple[int, int]]:
+    """The run if it is a key; its segments that are, where the others are ordinary or the run isn't."""
+    parts = [(run.start() + m.start(), m[0]) for m in re.finditer("[A-Za-z0-9+]+", run[0])]
+    keys = [(a, x) for a, x in parts if len(x) >= shortest and _is_key(x, models, threshold, letters)]
+    rest = [x for a, x in parts if (a, x) not in keys]
+    if _is_key(run[0], models, threshold, letters) and not (keys and all(models.ratio(x) <= 0 for x in rest)):
+        return [run.span()]
+    return [(a, a + len(x)) for a, x in keys]
+
+
+def spans(text: str | None, models: Models, threshold: float = THRESHOLD, shortest: int = SHORTEST, letters: float = LETTERS) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of all spans in order."""
     if not text:
         return []
@@ -129,11 +166,8 @@ def spans(text: str | None, models: Models, threshold: float = THRESHOLD, shorte
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         base = list(found)
         for m in _RUN.finditer(text):
-            x = m[0]
-            if len(x) >= shortest and not x.isalpha() and not x.isdigit() and re.search("[0-9]", x) and re.search("[A-Za-z]", x):
-                a, b = m.span()
-                if not any(s < b and a < e for s, _, e in base) and models.ratio(x) > threshold:
-                    found.append((a, 3, b))
+            if len(m[0]) >= shortest and not any(s < m.end() and m.start() < e for s, _, e in base):
+                found += [(a, 3, b) for a, b in _keys(m, models, threshold, letters, shortest)]
     return sorted(found)
 
 
