@@ -6,11 +6,12 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import pytest
-from llm_cases import ROWS
+from llm_cases import PROSE, ROWS
 from vectide.llm import boilerplate, chat, decontam, licenses, packing, quality, secret_scan, simhash, suffixes, url_filter
-from vectide.llm.queries import tokenizer_path
+from vectide.llm.queries import ORACLES, tokenizer_path
 
 
 def bench(spark):
@@ -128,9 +129,41 @@ def test_suffix_results(spark, edge):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got) == expected
 
 
-def test_secrets_results(spark, edge):
-    row = next(r for r in secret_scan.scan(edge).collect() if r["doc_id"] == -5)
-    assert (row["n_assign"], row["n_access"], row["n_hex"]) == (1, 1, 0) and row["spans"].startswith("assign:0:")
+@pytest.mark.parametrize("name,operator", [("op5_licenses", licenses.scan), ("op6_quality", quality.quality_rules), ("op9_line_dedup", boilerplate.line_report)])
+def test_edges_equal_sql(spark, edge, name, operator):
+    notice = "\n".join(["Licensed under the MIT License.", "one more line of this site"])
+    rows = [(i, x, s) for i, x, s in ROWS] + [(100 + i, f"{notice}\n{' '.join(f'own{i}w{j}' for j in range(60))}", f"s{i % 12}") for i in range(24)]
+    rows += [(None, notice, "s1"), (None, notice, None), (200, "GPL v2", "s2"), (200, "GPL v2", "s2")]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    extra = spark.createDataFrame(rows[len(ROWS) :], "doc_id long, text string, source string")
+    got = operator(edge.unionByName(extra, allowMissingColumns=True))
+    result = c.execute(ORACLES[name])
+    columns = [x[0] for x in result.description]
+    want = Counter(result.fetchall())
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == want and sum(want.values()) > 3
+
+
+def test_leaks_on_edges(spark, edge):
+    items = [(1, PROSE.split("\n")[0]), (None, PROSE.split("\n")[1]), (None, PROSE.split("\n")[1]), (3, "one"), (4, "  "), (5, None), (6, "é ü 漢字 👍")]
+    got = Counter(map(tuple, decontam.leaks(edge, spark.createDataFrame(items, "item_id long, text string")).collect()))
+    prose = [d for d, x, _ in ROWS if x and x.startswith("term")]
+    by = Counter((d, i) for d, i, *_ in got.elements())
+    for d in set(prose) - {3}:
+        assert by[d, 1] == by[d, None] == prose.count(d)
+    assert by[7, 3] == 1 and by[9, 6] == 0 and not any(i in (4, 5) for _, i in by)
+
+
+def test_secrets_on_edges(spark, edge):
+    from test_methods import brute_base
+
+    got = Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["spans"]) for r in secret_scan.scan(edge).collect())
+    want = Counter()
+    for d, x, _ in ROWS:
+        base = brute_base(x or "")
+        want[d, *(sum(k == n for _, k, _ in base) for n in range(3)), ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base)] += 1
+    assert got == want
 
 
 def test_urls_on_edges(spark):
