@@ -47,6 +47,33 @@ def test_write_and_raw(spark, tmp_path):
     assert vecfiles.read_vectors(spark, f"{tmp_path}/raw", format="raw", dim=2).count() == 10
 
 
+def test_patterns_and_hidden_files(tmp_path):
+    for name in ("a1.fvecs", "a2.fvecs", "b1.fvecs", ".a3.fvecs", "_a4.fvecs", "sub/a5.fvecs"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        write(f"{tmp_path}/{name}", [[1.0]], "<f4")
+    names = lambda path: [x.removeprefix(f"{tmp_path}/") for x in vecfiles._files(path)]
+    assert names(f"{tmp_path}/a*.fvecs") == ["a1.fvecs", "a2.fvecs"] == names(f"file:{tmp_path}/a[12].fvecs")
+    assert names(str(tmp_path)) == ["a1.fvecs", "a2.fvecs", "b1.fvecs"] and names(f"{tmp_path}/*/a*") == ["sub/a5.fvecs"]
+    with pytest.raises(FileNotFoundError):
+        vecfiles._files(f"{tmp_path}/c*")
+
+
+def test_other_file_systems(tmp_path, monkeypatch):
+    """Readers and writers only use what pyarrow's file systems offer."""
+    from pyarrow import fs
+
+    system = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    monkeypatch.setattr(vecfiles, "_place", lambda path: (system, "store://", path.removeprefix("store://")))
+    system.create_dir("box")
+    with system.open_output_stream("box/x.fvecs") as f:
+        f.write(b"".join(struct.pack("<iff", 2, i, -i) for i in range(50)))
+    reader = vecfiles.VectorReader({"path": "store://box", "split": "120"}, "f32")
+    parts = reader.partitions()
+    assert len(parts) == 5 and parts[0].path == "store://box/x.fvecs"
+    assert [v for p in parts for b in reader.read(p) for v in b.column(2).to_pylist()] == [[float(i), float(-i)] for i in range(50)]
+    assert vecfiles.file_size("store://box/x.fvecs") == (2, 50)
+
+
 def test_siftgeo_and_sparse(spark, tmp_path):
     with open(f"{tmp_path}/x.siftgeo", "wb") as f:
         for i in range(3):

@@ -39,3 +39,38 @@ def test_hierarchy_round_trip(spark, data):
     made = clustering.hierarchical(df, 2, 2, rounds=3)
     back = clustering.Hierarchy.from_table(made.table(spark))
     assert sorted(map(tuple, back.quantize(df).collect())) == sorted(map(tuple, made.quantize(df).collect()))
+
+
+def test_queries_in_slices(spark, data, tmp_path):
+    path, _ = data
+    jobs.main(["knn", "--base", path, "--query", path, "--k", "3", "--out", f"{tmp_path}/whole"])
+    jobs.main(["knn", "--base", path, "--query", path, "--k", "3", "--step", "25", "--out", f"{tmp_path}/slices"])
+    rows = lambda x: sorted((r["qid"], r["rank"], r["bid"]) for r in spark.read.parquet(f"{tmp_path}/{x}").collect())
+    assert rows("whole") == rows("slices") and spark.read.parquet(f"{tmp_path}/slices").select("first").distinct().count() == 3
+
+
+def test_model_files(spark, data, tmp_path):
+    from vectide.operators import inverted, lsh
+    from vectide.sources import models
+
+    path, m = data
+    jobs.main(["gmm", "--data", path, path, "--k", "2", "--n", "50", "--out", f"{tmp_path}/x.gmm"])
+    g = models.read_mixture(f"{tmp_path}/x.gmm")
+    raw = open(f"{tmp_path}/x.gmm", "rb").read()
+    assert struct.unpack("<ii", raw[:8]) == (4, 2) and len(raw) == 8 + 4 * (2 + 8 + 8) and abs(g.w.sum() - 1) < 1e-6
+    models.write_mixture(g, f"{tmp_path}/y.gmm")
+    assert open(f"{tmp_path}/y.gmm", "rb").read() == raw
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>")
+    h = clustering.hierarchical(df, 2, 2, rounds=3)
+    models.write_hierarchy(h, f"{tmp_path}/h")
+    again = models.read_hierarchy(f"{tmp_path}/h")
+    assert all(np.allclose(a[k], b[k]) for a, b in zip(h.levels, again.levels, strict=True) for k in a) and len(open(f"{tmp_path}/h", "rb").read()) == 12 + 4 + 4 * 8 + 4 + 4 * 16
+    books = lsh.Codebooks.learn(df, 2, 3)
+    models.write_codebooks(books, f"{tmp_path}/b")
+    assert all(np.allclose(a, b) for a, b in zip(books.books, models.read_codebooks(f"{tmp_path}/b", 2, 3, 4).books, strict=True))
+    rows = [(i % 3, i, [i * 7 - 100, -i]) for i in range(50)]
+    file = inverted.InvertedFile.build(spark.createDataFrame(rows, "key long, id long, code array<long>"), 5)
+    models.write_inverted(file, f"{tmp_path}/i")
+    found = models.read_inverted(spark, f"{tmp_path}/i")
+    assert found.keys == 5 and sorted((r["key"], r["id"], r["code"]) for r in found.table.collect()) == sorted(rows)
+    assert len(open(f"{tmp_path}/i", "rb").read()) == 16 + 20 + 50 * (4 + 16)

@@ -1,16 +1,17 @@
-"""Command-line jobs over vector files: ``python -m vectide.jobs knn|kmeans|dump|pca ...``."""
+"""Command-line jobs over vector files: ``python -m vectide.jobs knn|kmeans|gmm|dump|pca ...``."""
 
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
-from vectide.operators import clustering, linalg, neighbours
-from vectide.sources import vecfiles
+from vectide.operators import clustering, linalg, mixture, neighbours, tables
+from vectide.sources import models, vecfiles
 
 
 def load(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
@@ -23,10 +24,16 @@ def load(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     return df.where(F.col("id") < rows) if rows else df
 
 
-def knn(spark: SparkSession, base: str, query: str, k: int, metric: str, out: str, nb: int | None = None, nq: int | None = None) -> None:
-    """Exact neighbours; NaN counts as 2. Writes Parquet (qid, rank, bid, dis)."""
+def knn(spark: SparkSession, base: str, query: str, k: int, metric: str, out: str, nb: int | None = None, nq: int | None = None, step: int | None = None) -> None:
+    """Exact neighbours; NaN counts as 2. Writes Parquet (qid, rank, bid, dis), ``step`` queries at a time if given, a folder for each slice."""
     b, q = (load(spark, p, n).withColumn("v", V.replace_nan("v", 2.0)) for p, n in ((base, nb), (query, nq)))
-    neighbours.knn(q, b, k, metric).write.mode("overwrite").parquet(out)
+    if not step:
+        neighbours.knn(q, b, k, metric).write.mode("overwrite").parquet(out)
+        return
+    last = q.agg(F.max("id")).first()[0]
+    for at in range(0, -1 if last is None else last + 1, step):
+        part = q.where((F.col("id") >= at) & (F.col("id") < at + step))
+        neighbours.knn(part, b, k, metric).write.mode("overwrite").parquet(f"{out}/first={at}")
 
 
 def kmeans(spark: SparkSession, data: str, k: int, metric: str, rounds: int, out: str, seed: int = 0, redo: int = 1) -> None:
@@ -35,6 +42,14 @@ def kmeans(spark: SparkSession, data: str, k: int, metric: str, rounds: int, out
     vecfiles.write_vectors(model.table(spark).select("v").coalesce(1), out)
 
 
+def gmm(spark: SparkSession, data: list[str], k: int, out: str, n: int | None = None, rounds: int = 30, seed: int = 0, siftgeo: bool = False) -> mixture.Mixture:
+    """A mixture of all files' vectors (``n`` sampled ones, 100 for each component by default), written as a model file."""
+    parts = [vecfiles.read_vectors(spark, x, **({"format": "siftgeo"} if siftgeo else {})).select(F.xxhash64("file", "idx").alias("id"), V.doubles("v").alias("v")) for x in data]
+    model = mixture.fit(tables.sample_rows(reduce(DataFrame.unionAll, parts), n or 100 * k, "id", seed), k, rounds=rounds, seed=seed)
+    models.write_mixture(model, out)
+    return model
+
+
 def dump(spark: SparkSession, data: str, out: str) -> None:
     """One line of numbers for each vector."""
     vecfiles.write_text(load(spark, data).orderBy("id"), out)
@@ -64,6 +79,7 @@ def main(args: list[str] | None = None) -> None:
     a.add_argument("--metric", default="l2")
     a.add_argument("--nb", type=int)
     a.add_argument("--nq", type=int)
+    a.add_argument("--step", type=int)
     a.add_argument("--out", required=True)
     a = jobs.add_parser("kmeans")
     a.add_argument("--data", required=True)
@@ -73,6 +89,14 @@ def main(args: list[str] | None = None) -> None:
     a.add_argument("--seed", type=int, default=0)
     a.add_argument("--redo", type=int, default=1)
     a.add_argument("--out", required=True)
+    a = jobs.add_parser("gmm")
+    a.add_argument("--data", required=True, nargs="+")
+    a.add_argument("--k", type=int, default=16)
+    a.add_argument("--n", type=int)
+    a.add_argument("--rounds", type=int, default=30)
+    a.add_argument("--seed", type=int, default=0)
+    a.add_argument("--siftgeo", action="store_true")
+    a.add_argument("--out", required=True)
     a = jobs.add_parser("dump")
     a.add_argument("--data", required=True)
     a.add_argument("--out", required=True)
@@ -85,7 +109,7 @@ def main(args: list[str] | None = None) -> None:
     given = vars(top.parse_args(args))
     job = given.pop("job")
     spark = SparkSession.builder.appName(f"vectide-{job}").getOrCreate()
-    found = {"knn": knn, "kmeans": kmeans, "dump": dump, "pca": pca}[job](spark, **given)
+    found = {"knn": knn, "kmeans": kmeans, "gmm": gmm, "dump": dump, "pca": pca}[job](spark, **given)
     if isinstance(found, linalg.PCA):
         print("explained", np.round(found.values, 6).tolist())
 

@@ -4,14 +4,16 @@ Options: path; elem: f32, i32, u8 or i64 (by default from .fvecs, .ivecs, .bvecs
 before each vector), raw (no lengths; dim needed), sparse (.spfvecs) or siftgeo; dim: fail on other lengths;
 first and last: records [first, last) of each file; split: bytes of a partition.
 
-Records have one size per file, so files are cut between records; a filter on idx = n is read by a seek. Files must be
-reachable from all executors (a shared file system); the paths can be globs.
+Records have one size per file, so files are cut between records; a filter on idx = n is read by a seek. Paths can be
+globs, on any file system that all executors reach: a mounted one (plain paths, file:), or one that pyarrow opens by its
+URI (hdfs://, s3://, gs:// and others).
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
+import posixpath
 import re
 import struct
 from collections.abc import Iterator
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as files
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -28,12 +31,33 @@ GEOMETRY = ("x", "y", "scale", "angle", "mi11", "mi12", "mi21", "mi22", "cornern
 BATCH = 4096
 
 
+_URI = re.compile(r"^(?!file:)[A-Za-z][A-Za-z0-9+.-]*://")
+
+
+def _place(path: str) -> tuple[files.FileSystem, str, str]:
+    """The file system of a path, what its paths lack of a whole URI, and the path in it."""
+    if _URI.match(path):
+        system, inner = files.FileSystem.from_uri(path)
+        return system, path.removesuffix(inner), inner
+    return files.LocalFileSystem(), "", re.sub("^file:(//)?", "", path)
+
+
+def _open(path: str):
+    system, _, inner = _place(path)
+    return system.open_input_file(inner)
+
+
+def _size(path: str) -> int:
+    system, _, inner = _place(path)
+    return system.get_file_info(inner).size
+
+
 def file_size(path: str, elem: str = "f32") -> tuple[int, int]:
     """Length of the vectors and their number; (-1, 0) for an empty file."""
-    size, width = os.path.getsize(path), np.dtype(ELEMENTS[elem][0]).itemsize
+    size, width = _size(path), np.dtype(ELEMENTS[elem][0]).itemsize
     if not size:
         return -1, 0
-    with open(path, "rb") as f:
+    with _open(path) as f:
         d = struct.unpack("<i", f.read(4))[0]
     if d <= 0 or size % (4 + d * width):
         raise ValueError(f"{path}: not whole records of {d} elements")
@@ -48,16 +72,26 @@ class Part(InputPartition):
     d: int
 
 
-def _local(path: str) -> str:
-    return re.sub("^file:(//)?", "", path)
-
-
 def _files(path: str) -> list[str]:
-    path = _local(path)
-    found = sorted(x for x in glob.glob(os.path.join(path, "*") if os.path.isdir(path) else path) if os.path.isfile(x) and os.path.basename(x)[0] not in "._")
-    if not found:
+    """The files of a path, a folder or a pattern, but hidden ones."""
+    # a pattern can't be part of a URI: its folder is asked for
+    plain = re.split(r"[*?\[]", path)[0]
+    folder = path if plain == path else plain.rpartition("/")[0] or ("/" if path.startswith("/") else ".")
+    system, prefix, inner = _place(folder)
+    info = system.get_file_info(inner)
+    if info.type == files.FileType.Directory:
+        found = system.get_file_info(files.FileSelector(inner, recursive=plain != path))
+        paths = [x.path for x in found if x.type == files.FileType.File]
+        if plain != path:
+            pattern = posixpath.normpath(path if folder == "." else inner + path[len(folder) :])
+            depth = pattern.count("/")
+            paths = [x for x in paths if posixpath.normpath(x).count("/") == depth and fnmatch.fnmatchcase(posixpath.normpath(x), pattern)]
+    else:
+        paths = [inner] if info.type == files.FileType.File else []
+    paths = sorted(x for x in paths if posixpath.basename(x)[0] not in "._")
+    if not paths:
         raise FileNotFoundError(path)
-    return found
+    return [prefix + x for x in paths]
 
 
 class VectorFiles(DataSource):
@@ -105,7 +139,7 @@ class VectorReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         out: list[Part] = []
         for path in _files(self.options["path"]):
-            size = os.path.getsize(path)
+            size = _size(path)
             if self.kind == "sparse":
                 out.append(Part(path, 0, -1, 0))
                 continue
@@ -114,7 +148,7 @@ class VectorReader(DataSourceReader):
             if self.kind == "raw":
                 d = int(self.options["dim"])
             else:
-                with open(path, "rb") as f:
+                with _open(path) as f:
                     f.seek(36 if self.kind == "siftgeo" else 0)
                     d = struct.unpack("<i", f.read(4))[0]
             if not 0 < d < 100_000_000 or "dim" in self.options and d != int(self.options["dim"]):
@@ -136,7 +170,7 @@ class VectorReader(DataSourceReader):
             yield from self._sparse(part.path)
             return
         record = self._record(part.d)
-        with open(part.path, "rb") as f:
+        with _open(part.path) as f:
             f.seek(part.first * record.itemsize)
             for at in range(part.first, part.last, BATCH):
                 n = min(BATCH, part.last - at)
@@ -154,7 +188,7 @@ class VectorReader(DataSourceReader):
     def _sparse(self, path: str) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("idx", pa.int64()), ("val", pa.float64())]))
         rows, at = [], 0
-        with open(path, "rb") as f:
+        with _open(path) as f:
             while head := f.read(4):
                 n = struct.unpack("<i", head)[0]
                 idx = np.frombuffer(f.read(4 * n), "<i4")
@@ -176,30 +210,34 @@ class VectorWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict[str, str], elem: str, overwrite: bool):
         self.options, self.elem = options, elem
-        self.path = _local(options["path"])
-        if overwrite and os.path.isdir(self.path):
-            for x in _files(self.path) if os.listdir(self.path) else []:
-                os.remove(x)
-        os.makedirs(self.path, exist_ok=True)
+        self.path = options["path"].rstrip("/")
+        system, _, inner = _place(self.path)
+        if overwrite and system.get_file_info(inner).type == files.FileType.Directory:
+            for x in system.get_file_info(files.FileSelector(inner)):
+                if x.type == files.FileType.File:
+                    system.delete_file(x.path)
+        system.create_dir(inner, recursive=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        name = os.path.join(self.path, f"part-{context.partitionId():06d}.{ {k: s for s, k in SUFFIXES.items()}[self.elem][1:] }")
-        hidden = os.path.join(self.path, f".{os.path.basename(name)}-{context.taskAttemptId()}")
-        with open(hidden, "wb") as f:
+        system, _, inner = _place(self.path)
+        name = f"part-{context.partitionId():06d}{ {k: s for s, k in SUFFIXES.items()}[self.elem] }"
+        hidden = f"{inner}/.{name}-{context.taskAttemptId()}"
+        with system.open_output_stream(hidden) as f:
             for batch in batches:
                 for v in batch.column(batch.schema.get_field_index("v")):
                     x = np.asarray(v.values).astype(ELEMENTS[self.elem][0])
                     if self.options.get("format", "vecs") != "raw":
                         f.write(struct.pack("<i", len(x)))
                     f.write(x.tobytes())
-        os.replace(hidden, name)
+        system.move(hidden, f"{inner}/{name}")
         return WriterCommitMessage()
 
     def commit(self, messages) -> None:
-        open(os.path.join(self.path, "_SUCCESS"), "w").close()
+        system, _, inner = _place(self.path)
+        system.open_output_stream(f"{inner}/_SUCCESS").close()
 
     def abort(self, messages) -> None:
         return None
