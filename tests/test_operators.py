@@ -193,7 +193,7 @@ def test_lsh_recall_of_the_query(spark, sf_dir):
     from vectide.plans.queries import QUERIES
 
     e = E(spark, sf_dir).select("id", "v")
-    exact = {(r["qid"], r["bid"]) for r in neighbours.knn(e.where("id % 20 = 0"), e, 5).collect()}
+    exact = {(r["qid"], r["bid"]) for r in neighbours.knn(e.where("id % 50 = 0"), e, 5).collect()}
     got = {(r["qid"], r["bid"]) for r in QUERIES["lsh_knn"](spark, sf_dir).collect()}
     assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
 
@@ -225,3 +225,60 @@ def test_rows_and_order(spark):
     x = np.array([r["v"] for r in tables.random_vectors(spark, 2000, 4, 2).collect()])
     assert abs(x.mean() - 0.5) < 0.02 and x.min() >= 0 and x.max() < 1
     assert V.DISTANCES.keys() == set(kernels.METRICS)
+
+
+def partition(rows):
+    groups = {}
+    for i, c in rows:
+        groups.setdefault(c, set()).add(i)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_spectral_plans_agree(spark):
+    rng = np.random.default_rng(4)
+    m = np.concatenate([rng.normal(c, 0.3, (25, 3)) for c in ((0, 0, 0), (3, 0, 0), (0, 3, 3))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>")
+    got = [partition((r["id"], r["cluster"]) for r in clustering.spectral(df, 3, 0.7, **kw).collect()) for kw in ({}, {"dense_rows": 10}, {"dense_rows": 10, "limit": 6000, "steps": 4})]
+    assert got[0] == got[1] == got[2] == [list(range(25 * i, 25 * i + 25)) for i in range(3)]
+
+
+def test_exact_medians(spark):
+    rng = np.random.default_rng(5)
+    data = {0: rng.normal(size=2001), 1: np.repeat([1.0, 2.0, 3.0], [700, 2, 700]), 2: rng.integers(0, 3, 5000).astype(float), 3: np.array([4.0]), 4: np.array([1.0, 2.0]), 5: rng.random(30_000)}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in data.items() for x in xs] + [(6, None), (0, None)], "g long, x double")
+    got = {r["g"]: r["median"] for r in tables.medians(df, ["g"], "x").collect()}
+    assert got == {g: pytest.approx(float(np.median(xs))) for g, xs in data.items()}
+
+
+def test_running_values_of_one_large_group(spark):
+    rows = [("a" if i % 10 else None, i // 2, i, None if i % 7 == 0 else float(i % 5)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, t long, i long, x double").repartition(5)
+    run = {r["i"]: r["running"] for r in ordered.running_sum(df, "x", ["t", "i"], ["g"]).collect()}
+    dif = {r["i"]: r["difference"] for r in ordered.differences(df, "x", ["t", "i"], ["g"]).collect()}
+    probes = df.select("g", F.col("i").alias("k"), (F.col("t") + 1).alias("at"))
+    seen = {r["k"]: r["i"] for r in ordered.as_of(probes, df.where("i % 13 = 0"), "at", "t", ["g"], ["i"]).collect()}
+    for g in ("a", None):
+        total, before = None, 0
+        own = [r for r in rows if r[0] == g]
+        for _, t, i, x in own:
+            total = total if x is None else (total or 0) + x
+            assert run[i] == total and dif[i] == (None if x is None else x - (before or 0))
+            before = x
+            assert seen[i] == max((j for h, u, j, _ in own if j % 13 == 0 and u <= t + 1), default=None)
+
+
+def test_blocks_are_taken_one_by_one(spark, points):
+    df, m = frame(spark, points), points
+    whole = sorted(map(tuple, neighbours.knn(df, df, 3).collect()))
+    assert sorted(map(tuple, neighbours.knn(df, df, 3, limit=2000).collect())) == [(a, b, c, pytest.approx(d)) for a, b, c, d in whole]
+    assert neighbours.cross_distances(df, df, limit=2000).count() == len(m) ** 2
+
+
+def test_kmeans_callback_and_plus_plus(spark, points, monkeypatch):
+    df = frame(spark, points)
+    seen = []
+    clustering.kmeans(df, 3, "cosine", rounds=9, init="first", after=lambda n, model: seen.append((n, model.centroids.shape)) or n < 4)
+    assert [n for n, _ in seen] == [1, 2, 3, 4]
+    small = clustering._plus_plus(df, 5, "id", "v", 3, "l2")
+    monkeypatch.setattr(clustering, "SMALL", 0)
+    assert np.allclose(small, clustering._plus_plus(df, 5, "id", "v", 3, "l2")) and len(np.unique(small, axis=0)) == 5

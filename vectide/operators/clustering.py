@@ -7,7 +7,7 @@ are exact by dimension, Newton steps run on sums that tasks make for the current
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
+from vectide.sources.shared import written
 
 from . import kernels, linalg
-from .neighbours import _side, dense, knn, spread
-from .rows import Rows
+from .neighbours import LIMIT, _bytes, _side, against_matrix, block_by_block, dense, spread
+from .rows import SMALL, Rows
 from .tables import sample_rows
 
 METRICS = {"l2": "l2", "l1": "l1", "chi2": "chi2", "cosine": "dot"}
@@ -38,8 +39,7 @@ class KMeans:
     def assign(self, df: DataFrame, key: str = "id", v: str = "v") -> DataFrame:
         """id, cluster, dis."""
         c = self.centroids if self.metric != "cosine" else -self.centroids
-        base = KMeans(c).table(df.sparkSession)
-        return knn(df, base, 1, METRICS[self.metric], qid=key, qv=v).select(F.col("qid").alias("id"), F.col("bid").alias("cluster"), "dis")
+        return against_matrix(df, np.arange(len(c)), c, 1, METRICS[self.metric], qid=key, qv=v).select(F.col("qid").alias("id"), F.col("bid").alias("cluster"), "dis")
 
 
 def _distances(x: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
@@ -67,10 +67,14 @@ def _medians(data: Rows, c: np.ndarray) -> np.ndarray:
     return data.medians(lambda x: _distances(x, c, "l1").argmin(1), c)
 
 
-def _chi2(data: Rows, c: np.ndarray, start: np.ndarray, steps: int = 25) -> np.ndarray:
+# The tolerance of a chi-square centroid, relative to its start, and its Newton steps at most.
+CHI2_TOLERANCE, CHI2_STEPS = 1e-4, 1000
+
+
+def _chi2(data: Rows, c: np.ndarray, start: np.ndarray, steps: int = CHI2_STEPS) -> np.ndarray:
     """Newton steps for all clusters and dimensions at once, with sums over the rows for each step."""
     x = np.maximum(start, 0)
-    floor = 1e-4 * np.maximum(x, 1e-12)
+    floor = CHI2_TOLERANCE * np.maximum(x, 1e-12)
     for _ in range(steps):
 
         def slopes(a: np.ndarray, x=x) -> np.ndarray:
@@ -93,7 +97,7 @@ def _chi2(data: Rows, c: np.ndarray, start: np.ndarray, steps: int = 25) -> np.n
 
 
 def _split_empty(c: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> int:
-    """Give each empty cluster half of another, chosen by n^2 - 1, by moving both a little apart."""
+    """Give each empty cluster half of another, chosen by n^2 - 1 (a fixed value), by moving both a little apart."""
     empty = np.flatnonzero(n == 0)
     for i in empty:
         p = np.where(n >= 2, n * n - 1, 0.0)
@@ -124,25 +128,47 @@ def _first(data: DataFrame, df: DataFrame, k: int, init, key: str, v: str, seed:
 
 
 def _plus_plus(df: DataFrame, k: int, key: str, v: str, seed: int, metric: str) -> np.ndarray:
-    """D^2 sampling on a sample of at most 8192 or 8 k rows (fixed by key and seed)."""
-    _, m = _side(sample_rows(df, max(8192, 8 * k), key, seed), key, v)
-    rng = np.random.default_rng(seed)
-    chosen = [m[rng.integers(len(m))]]
-    best = None
+    """D^2 sampling from all rows. Each row draws an exponential variable, fixed by key, seed and draw, over its distance to
+    what is chosen; the least is a draw in proportion to the distances, and tasks give one row each."""
+    kind = METRICS[metric] if metric != "cosine" else "l2"
+    rows = df.select(F.col(key).cast("bigint").alias("k"), V.doubles(v).alias("v"))
+    held = _side(rows, "k", "v") if _bytes(rows, "v") <= SMALL else None
+
+    def least(ids: np.ndarray, x: np.ndarray, chosen: np.ndarray) -> tuple[float, int, np.ndarray]:
+        far = kernels.pairwise(x, chosen, kind).min(1) if len(chosen) else np.ones(len(x))
+        drawn = kernels.exponential(ids, seed, len(chosen))
+        score = np.where(far > 0, drawn / np.where(far > 0, far, 1.0), 1e300 + 1e290 * drawn)  # a row that is chosen comes last
+        at = np.lexsort((ids, score))[0]
+        return float(score[at]), int(ids[at]), x[at]
+
+    chosen = np.zeros((0, 0))
     while len(chosen) < k:
-        d = kernels.pairwise(m, chosen[-1][None], METRICS[metric] if metric != "cosine" else "l2")[:, 0]
-        best = d if best is None else np.minimum(best, d)
-        chosen.append(m[rng.choice(len(m), p=best / best.sum())] if best.sum() > 0 else m[rng.integers(len(m))])
-    return np.array(chosen)
+        if held is not None:
+            row = least(*held, chosen)[2]
+        else:
+
+            def run(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
+                found = [least(np.asarray(b.column(0)), dense(b.column(1)), chosen) for b in batches if b.num_rows]
+                if found:
+                    score, i, x = min(found, key=lambda r: r[:2])
+                    yield pa.RecordBatch.from_pydict({"score": [score], "k": [i], "v": [x.tolist()]})
 
+            row = np.array(spread(rows).mapInArrow(run, "score double, k long, v array<double>").orderBy("score", "k").first()["v"])
+        chosen = np.vstack((chosen.reshape(len(chosen), len(row)), row))
+    return chosen
 
-def kmeans(df: DataFrame, k: int, metric: str = "l2", rounds: int = 30, init="hash", redo: int = 1, normalize: bool = False, seed: int = 0, key: str = "id", v: str = "v") -> KMeans:
+
+def kmeans(
+    df: DataFrame | None, k: int, metric: str = "l2", rounds: int = 30, init="hash", redo: int = 1, normalize: bool = False, seed: int = 0, key: str = "id", v: str = "v", data: Rows | None = None, after: Callable[[int, KMeans], bool | None] | None = None
+) -> KMeans:
     """Lloyd's rounds until nothing changes or ``rounds`` are done; the best of ``redo`` runs.
 
     init: "first" (the smallest keys), "hash" (rows fixed by key and seed), "plusplus", or k given centroids.
     ``errors`` and ``sizes`` refer to the centroids before the last update, as they are measured on assignment.
+    ``after`` is called with the number of each round and the model; the run ends if it gives False. ``data`` are the
+    rows where the driver has them, with given centroids.
     """
-    data = Rows(df, v)
+    data = data or Rows(df, v)
     best: KMeans | None = None
     for run in range(redo if isinstance(init, str) else 1):
         rng = np.random.default_rng(seed + run)
@@ -168,6 +194,8 @@ def kmeans(df: DataFrame, k: int, metric: str = "l2", rounds: int = 30, init="ha
                 new = new / np.where(size > 0, size, 1.0)[:, None]
             _split_empty(new, n, rng)
             model.centroids = c = new
+            if after is not None and after(len(model.errors), model) is False:
+                break
         if best is None or model.errors[-1] < best.errors[-1]:
             best = model
     return best
@@ -219,7 +247,7 @@ class Hierarchy:
         return spread(df.select(F.col(key).cast("bigint").alias("id"), V.doubles(v).alias("v"))).mapInArrow(run, "id long, leaf long")
 
 
-def hierarchical(df: DataFrame, branches: int, levels: int, rounds: int = 10, seed: int = 0, key: str = "id", v: str = "v") -> Hierarchy:
+def hierarchical(df: DataFrame, branches: int, levels: int, rounds: int = 10, init="hash", seed: int = 0, key: str = "id", v: str = "v") -> Hierarchy:
     """branches^levels leaves, each level learnt within the nodes of the one above."""
     made = Hierarchy([], branches)
     for _ in range(levels):
@@ -227,7 +255,7 @@ def hierarchical(df: DataFrame, branches: int, levels: int, rounds: int = 10, se
         placed = df.select(F.col(key).cast("bigint").alias("id"), V.doubles(v).alias("v")).join(nodes, "id")
         level = {}
         for node in sorted(r["leaf"] for r in nodes.select("leaf").distinct().collect()):  # at most branches^level rows
-            level[node] = kmeans(placed.where(F.col("leaf") == node), branches, rounds=rounds, seed=seed, key="id", v="v").centroids
+            level[node] = kmeans(placed.where(F.col("leaf") == node), branches, rounds=rounds, init=init, seed=seed, key="id", v="v").centroids
         made.levels.append(level)
     return made
 
@@ -240,16 +268,80 @@ def gaussian_kernel(df: DataFrame, sigma: float, key: str = "id", v: str = "v")
     return d.select("aid", "bid", F.when(F.col("aid") == F.col("bid"), 0.0).otherwise(F.exp(-F.col("dis") / (2 * sigma * sigma))).alias("x"))
 
 
-def spectral(df: DataFrame, k: int, sigma: float, rounds: int = 30, seed: int = 0, key: str = "id", v: str = "v") -> DataFrame:
-    """id, cluster from the normalised kernel's k leading eigenvectors, rows scaled to unit length. For sets that fit the driver as an n by n matrix."""
-    ids, m = _side(df, key, v)
-    if len(ids) > 5_000:
-        raise ValueError("too many vectors for a dense kernel")
-    a = np.exp(-kernels.pairwise(m, m, "l2") / (2 * sigma * sigma))
-    np.fill_diagonal(a, 0)
-    s = 1 / np.sqrt(np.maximum(a.sum(1), 1e-300))
-    _, e = linalg.eigen(a * s[:, None] * s[None], k)
-    rows = e.T / np.maximum(np.linalg.norm(e.T, axis=1), 1e-300)[:, None]
+#: Vectors up to which the kernel is one matrix on the driver.
+DENSE = 5_000
+
+
+def _kernel_sums(rows: DataFrame, sigma: float, columns: list[str], weigh: Callable[..., np.ndarray], width: int, limit: int) -> DataFrame:
+    """id, y: sums of kernel times weigh(columns) over all other rows. Blocks of rows are sent to the tasks, one after the other."""
+
+    def against(block: DataFrame):
+        t = block.select("id", "v", *columns).toArrow().combine_chunks()
+        held = [dense(t[c].combine_chunks()) if t.num_rows else np.zeros((0, 1)) for c in ("v", *columns)]
+        ids = np.asarray(t["id"].combine_chunks()) if t.num_rows else np.zeros(0, np.int64)
+        shared = rows.sparkSession.sparkContext.broadcast((ids, held[0], weigh(*held[1:])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m, e = shared.value
+            step = max(1, (1 << 22) // max(1, len(ids)))
+            for whole in batches:
+                for i in range(0, whole.num_rows if len(ids) else 0, step):
+                    batch = whole.slice(i, step)
+                    own = np.asarray(batch.column(0))
+                    a = np.exp(-kernels.pairwise(dense(batch.column(1)), m, "l2") / (2 * sigma * sigma))
+                    a[own[:, None] == ids[None]] = 0
+                    y = a @ e
+                    offsets = pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(y.ravel()))], names=["id", "y"])
+
+        return spread(rows.select("id", "v")).mapInArrow(run, "id long, y array<double>"), shared
+
+    found = block_by_block(rows, "id", _bytes(rows, "v") + 8 * (width + 1) * rows.count(), limit, against)
+    return found.groupBy("id").agg(F.array(*[F.sum(F.get("y", F.lit(j))) for j in range(width)]).alias("y"))
+
+
+def _leading(df: DataFrame, k: int, sigma: float, seed: int, limit: int, steps: int, tolerance: float) -> DataFrame:
+    """id, e: the k leading eigenvectors of the normalised kernel, by subspace iteration with some vectors to spare."""
+    p = k + 8
+    noise = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: F.pmod(F.xxhash64("id", j, F.lit(seed)), F.lit(2**40)) / 2.0**39 - 1.0)
+    rows = written(df.withColumn("one", F.array(F.lit(1.0))), "kernel")
+    degrees = _kernel_sums(rows, sigma, ["one"], lambda one: one, 1, limit)
+    rows = written(rows.join(degrees, "id").select("id", "v", F.array(1 / F.sqrt(F.greatest(F.get("y", F.lit(0)), F.lit(1e-300)))).alias("s"), noise.alias("z")), "kernel")
+    turn = np.linalg.inv(np.linalg.cholesky(linalg.moments(rows, "z").gram)).T
+    before = None
+    for _ in range(steps):
+        y = _kernel_sums(rows, sigma, ["s", "z"], lambda s, z, turn=turn: s * (z @ turn), p, limit)
+        scaled = F.transform("y", lambda x: x * F.get("s", F.lit(0)))
+        rows = written(rows.join(y, "id").select("id", "v", "s", F.col("z").alias("old"), scaled.alias("z")).withColumn("both", F.concat("old", "z")), "kernel")
+        gram = linalg.moments(rows, "both").gram
+        ritz = turn.T @ gram[:p, p:]
+        values, vectors = linalg.eigen((ritz + ritz.T) / 2)
+        if before is not None and np.abs(values[:k] - before[:k]).max() <= tolerance:
+            break
+        before, previous = values, turn
+        turn = np.linalg.inv(np.linalg.cholesky(gram[p:, p:] + 1e-300 * np.eye(p))).T
+    else:
+        turn = previous
+    return linalg.project(rows, vectors[:k] @ turn.T, key="id", v="old").select("id", F.col("p").alias("e"))
+
+
+def spectral(df: DataFrame, k: int, sigma: float, rounds: int = 30, seed: int = 0, key: str = "id", v: str = "v", dense_rows: int = DENSE, limit: int = LIMIT, steps: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """id, cluster from the normalised kernel's k leading eigenvectors, rows scaled to unit length.
+
+    Up to ``dense_rows`` vectors the kernel is a matrix on the driver; beyond, it is never held: its products with some
+    vectors are made in blocks, until the eigenvalues stand still."""
     spark = df.sparkSession
-    embedded = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in zip(ids, rows, strict=True)], "id long, v array<double>")
+    rows = df.select(F.col(key).cast("bigint").alias("id"), V.doubles(v).alias("v"))
+    if rows.count() > dense_rows:
+        found = _leading(rows, k, sigma, seed, limit, steps, tolerance)
+        norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
+        embedded = written(found.select("id", F.transform("e", lambda x: x / F.greatest(norm, F.lit(1e-300))).alias("v")), "embedded")
+    else:
+        ids, m = _side(rows, "id", "v")
+        a = np.exp(-kernels.pairwise(m, m, "l2") / (2 * sigma * sigma))
+        np.fill_diagonal(a, 0)
+        s = 1 / np.sqrt(np.maximum(a.sum(1), 1e-300))
+        _, e = linalg.eigen(a * s[:, None] * s[None], k)
+        unit = e.T / np.maximum(np.linalg.norm(e.T, axis=1), 1e-300)[:, None]
+        embedded = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in zip(ids, unit, strict=True)], "id long, v array<double>")
     return kmeans(embedded, k, rounds=rounds, init="plusplus", redo=5, seed=seed).assign(embedded).select("id", "cluster")

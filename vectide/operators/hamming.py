@@ -12,12 +12,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
 
-from .neighbours import _blocks, dense, spread
+from .neighbours import block_by_block, dense, spread
 
 #: Bits of a band from which the band join is taken.
 LEAST_BITS = 12
@@ -69,7 +70,7 @@ def _compared(a, b, radius, aid, acode, bid, bcode, limit) -> DataFrame:
 
     size = 8 * b.count() * (1 + _words(b, bcode))
 
-    def against(part: DataFrame) -> DataFrame:
+    def against(part: DataFrame) -> tuple[DataFrame, Broadcast]:
         table = part.select(F.col(bid).cast("bigint").alias("k"), V.longs(bcode).alias("c")).toArrow()
         ids = np.asarray(table["k"].combine_chunks()) if table.num_rows else np.zeros(0, np.int64)
         codes = _codes(table["c"].combine_chunks()) if table.num_rows else np.zeros((0, 1), np.uint64)
@@ -86,9 +87,9 @@ def _compared(a, b, radius, aid, acode, bid, bcode, limit) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(own[i : i + step][x]), pa.array(ids[y]), pa.array(d[x, y])], names=["qid", "bid", "score"])
 
         schema = StructType([StructField(x, LongType()) for x in ("qid", "bid", "score")])
-        return spread(a.select(F.col(aid).cast("bigint").alias("qid"), V.longs(acode).alias("c"))).mapInArrow(run, schema)
+        return spread(a.select(F.col(aid).cast("bigint").alias("qid"), V.longs(acode).alias("c"))).mapInArrow(run, schema), shared
 
-    return reduce(DataFrame.unionAll, map(against, _blocks(b, bid, size, limit)))
+    return block_by_block(b, bid, size, limit, against)
 
 
 def _codes(column: pa.Array) -> np.ndarray:

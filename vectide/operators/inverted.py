@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
 
-from . import clustering, hamming, linalg
+from . import clustering, hamming, linalg, tables
 from .neighbours import nearest
 
 
@@ -84,13 +84,14 @@ class HammingEmbedding:
     medians: DataFrame  # key, medians
 
     @classmethod
-    def learn(cls, vectors: DataFrame, cells: int, bits: int, rounds: int = 10, seed: int = 0, key: str = "id", v: str = "v") -> HammingEmbedding:
-        model = clustering.kmeans(vectors, cells, rounds=rounds, key=key, v=v, init="hash", seed=seed)
-        d = model.centroids.shape[1]
-        rotation = linalg.random_orthogonal(d, seed)[:bits]
-        centroids = model.table(vectors.sparkSession)
+    def learn(cls, vectors: DataFrame, cells: int, bits: int, rounds: int = 10, seed: int = 0, key: str = "id", v: str = "v", centroids: DataFrame | None = None, rotation: np.ndarray | None = None) -> HammingEmbedding:
+        """By k-means and a random rotation, unless ``centroids`` (id, v) or a ``rotation`` are given."""
+        if centroids is None:
+            centroids = clustering.kmeans(vectors, cells, rounds=rounds, key=key, v=v, init="hash", seed=seed).table(vectors.sparkSession)
+        if rotation is None:
+            rotation = linalg.random_orthogonal(len(centroids.first()["v"]), seed)[:bits]
         turned = cls(centroids, rotation, None).turned(vectors, key, v)
-        mid = turned.select("key", F.posexplode("r").alias("pos", "x")).groupBy("key", "pos").agg(F.median("x").alias("m"))
+        mid = tables.medians(turned.select("key", F.posexplode("r").alias("pos", "x")), ["key", "pos"], "x").withColumnRenamed("median", "m")
         medians = mid.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("medians"))
         return cls(centroids, rotation, medians)
 

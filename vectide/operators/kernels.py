@@ -64,6 +64,15 @@ def top_k(q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, metric: str = "
     return pos, dis
 
 
+def exponential(ids: np.ndarray, seed: int, draw: int) -> np.ndarray:
+    """An exponential variable for each id, seed and draw: mixed bits as a uniform variable."""
+    x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (seed * 1_000_003 + draw + 1) % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53)
+
+
 def chi2_centroid(a: np.ndarray, tolerance: float = 1e-4, rounds: int = 1000) -> np.ndarray:
     """Column-wise x that makes the sum of (x - a)^2 / (x + a) least, for a >= 0; Newton steps, halved where they'd go below zero."""
     mean = a.mean(0)

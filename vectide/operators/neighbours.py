@@ -2,12 +2,13 @@
 
 Which side is sent to all tasks depends on measured sizes: a base of at most ``limit`` bytes, else queries of at
 most ``limit`` bytes (each task then keeps its k best per query and they are merged), else queries in blocks of
-that size, each against all base rows. Nothing unbounded is sent.
+that size, each against all base rows. Blocks are taken one after the other: a block's result is written to the shared
+folder and the block is dropped, on the driver and in the tasks, before the next one is fetched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.core.broadcast import Broadcast
+
 from vectide.functions import vectors as V
+from vectide.sources.shared import written
 
 from . import kernels
 from .ordered import top_per_group
@@ -54,6 +58,19 @@ def _blocks(df: DataFrame, key: str, size: int, limit: int) -> list[DataFrame]:
     return [df] if n == 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
+def block_by_block(df: DataFrame, key: str, size: int, limit: int, against: Callable[[DataFrame], tuple[DataFrame, Broadcast]]) -> DataFrame:
+    """All results of ``against``, which sends a block to all tasks; no more than one block is held at a time."""
+    blocks = _blocks(df, key, size, limit)
+    if len(blocks) == 1:
+        return against(df)[0]
+    parts = []
+    for block in blocks:
+        result, sent = against(block)
+        parts.append(written(result, "block"))
+        sent.destroy()
+    return reduce(DataFrame.unionAll, parts)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Over all cores, if the source comes in fewer partitions."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -67,8 +84,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", qid: st
     b_size = _bytes(base, bv)
     if b_size <= limit:
         return _against_base(queries, base, k, metric, qid, qv, bid, bv, weights)
-    parts = [_against_queries(q, base, k, metric, qid, qv, bid, bv, weights) for q in _blocks(queries, qid, _bytes(queries, qv), limit)]
-    return reduce(DataFrame.unionAll, parts)
+    return block_by_block(queries, qid, _bytes(queries, qv), limit, lambda block: _against_queries(block, base, k, metric, qid, qv, bid, bv, weights))
 
 
 def _against_base(queries, base, k, metric, qid, qv, bid, bv, weights) -> DataFrame:
@@ -77,7 +93,12 @@ def _against_base(queries, base, k, metric, qid, qv, bid, bv, weights) -> DataFr
     ids = np.asarray(table["k"].combine_chunks()) if table.num_rows else np.zeros(0, np.int64)
     matrix = dense(table["v"].combine_chunks()) if table.num_rows else np.zeros((0, 1))
     w = np.asarray(table["w"].combine_chunks()) if weights and table.num_rows else None
-    shared = base.sparkSession.sparkContext.broadcast((ids, matrix, w))
+    return against_matrix(queries, ids, matrix, k, metric, qid, qv, w)
+
+
+def against_matrix(queries: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str = "l2", qid: str = "id", qv: str = "v", w: np.ndarray | None = None) -> DataFrame:
+    """knn against rows that the driver has, such as a codebook."""
+    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix, w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, w = shared.value
@@ -93,7 +114,7 @@ def _against_base(queries, base, k, metric, qid, qv, bid, bv, weights) -> DataFr
     return spread(queries.select(F.col(qid).cast("bigint").alias("qid"), V.doubles(qv).alias("v"))).mapInArrow(run, RESULT)
 
 
-def _against_queries(queries, base, k, metric, qid, qv, bid, bv, weights) -> DataFrame:
+def _against_queries(queries, base, k, metric, qid, qv, bid, bv, weights) -> tuple[DataFrame, Broadcast]:
     shared = base.sparkSession.sparkContext.broadcast(_side(queries, qid, qv))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +134,7 @@ def _against_queries(queries, base, k, metric, qid, qv, bid, bv, weights) -> Dat
 
     columns = [F.col(bid).cast("bigint").alias("bid"), V.doubles(bv).alias("v")] + ([F.col(weights).cast("double").alias("w")] if weights else [])
     found = spread(base.select(*columns)).mapInArrow(run, "qid long, bid long, dis double")
-    return top_per_group(found, k, ["qid"], [F.col("dis"), F.col("bid")]).select("qid", "rank", "bid", "dis")
+    return top_per_group(found, k, ["qid"], [F.col("dis"), F.col("bid")]).select("qid", "rank", "bid", "dis"), shared
 
 
 def nearest(queries: DataFrame, base: DataFrame, **kw) -> DataFrame:
@@ -124,7 +145,7 @@ def nearest(queries: DataFrame, base: DataFrame, **kw) -> DataFrame:
 def cross_distances(a: DataFrame, b: DataFrame, metric: str = "l2", aid: str = "id", av: str = "v", bid: str = "id", bv: str = "v", limit: int = LIMIT) -> DataFrame:
     """aid, bid, dis for all pairs; ``b`` goes to the tasks in blocks of at most ``limit`` bytes."""
 
-    def against(part: DataFrame) -> DataFrame:
+    def against(part: DataFrame) -> tuple[DataFrame, Broadcast]:
         shared = a.sparkSession.sparkContext.broadcast(_side(part, bid, bv))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +157,9 @@ def cross_distances(a: DataFrame, b: DataFrame, metric: str = "l2", aid: str = "
                     d = kernels.exact(dense(batch.column(1))[:, None], m[None], metric) if metric == "l2" else kernels.pairwise(dense(batch.column(1)), m, metric)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), len(ids))), pa.array(np.tile(ids, len(d))), pa.array(d.ravel())], names=["aid", "bid", "dis"])
 
-        return spread(a.select(F.col(aid).cast("bigint").alias("aid"), V.doubles(av).alias("v"))).mapInArrow(run, "aid long, bid long, dis double")
+        return spread(a.select(F.col(aid).cast("bigint").alias("aid"), V.doubles(av).alias("v"))).mapInArrow(run, "aid long, bid long, dis double"), shared
 
-    return reduce(DataFrame.unionAll, map(against, _blocks(b, bid, _bytes(b, bv), limit)))
+    return block_by_block(b, bid, _bytes(b, bv), limit, against)
 
 
 def rerank(shortlist: DataFrame, queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", qid: str = "id", qv: str = "v", bid: str = "id", bv: str = "v") -> DataFrame:

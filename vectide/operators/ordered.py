@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectide.sources.shared import written
+
 
 def top_rows(df: DataFrame, k: int, by: str, tie: str, largest: bool = True) -> DataFrame:
     """The k rows with the largest (smallest) values, ties by ``tie``; k rows leave each task."""
@@ -25,8 +31,8 @@ def merge_top(top: DataFrame, batch: DataFrame, k: int, group: list[str], order:
 def ranks_of(values: DataFrame, probes: DataFrame, value: str, probe: str, descending: bool = True) -> DataFrame:
     """For each probe, min_rank (values before it) and max_rank (min_rank plus values equal to it).
 
-    Values are counted by distinct value first. A bucketed sum gives the values before each range of the
-    domain, so nothing is compared with everything and no task holds all values.
+    Values are counted by distinct value first, and the counts are added up by ranges of the values, so nothing is
+    compared with everything and no task holds all values.
     """
     v = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__n"))
     p = probes.select(F.col(probe).cast("double").alias("__x")).distinct().withColumn("__n", F.lit(0).cast("bigint"))
@@ -38,38 +44,73 @@ def ranks_of(values: DataFrame, probes: DataFrame, value: str, probe: str, desce
 
 
 def _running(df: DataFrame, key: str, n: str, descending: bool = False) -> DataFrame:
-    """Adds __before: the sum of ``n`` over rows with smaller (larger) distinct keys; two passes over ranges of the key.
+    """Adds __before: the sum of ``n`` over rows with smaller (larger) distinct keys.
+
+    Rows are dealt to ranges of the key; each task adds up its own rows in order, and the sums of the tasks before
+    it come from a row for each task."""
+    order = F.desc(key) if descending else F.asc(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            own = np.cumsum(np.asarray(batch.column(1))) + total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own - np.asarray(batch.column(1))), pa.array([part] * len(own), pa.int32())], names=[key, n, "__own", "__part"])
+            total = int(own[-1]) if len(own) else total
+
+    ranged = df.select(F.col(key).cast("double").alias(key), F.col(n).cast("bigint").alias(n)).repartitionByRange(order).sortWithinPartitions(order).mapInArrow(run, f"{key} double, {n} long, __own long, __part int")
+    ranged = written(ranged, "ranges")
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("__part").agg(F.sum(n).alias("__t"))
+    totals = totals.select("__part", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__base"))  # a row for each task
+    return ranged.join(totals, "__part").withColumn("__before", F.col("__base") + F.col("__own"))
+
+
+def _parts(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` dealt to ranges of (group, order), with the range as __part: a group of any size is in as many as it takes."""
+    return written(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()), "parts")
+
 
-    The ranges come from equal-count quantiles, at most 64 of them, so that each is one task's share."""
-    cuts = [float(x) for x in sorted({x for x in (df.approxQuantile(key, [i / 64 for i in range(1, 64)], 0.005) or [])})]
-    span = sum((F.when(F.col(key) > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    ranged = df.withColumn("__span", span)
-    totals = ranged.groupBy("__span").agg(F.sum(n).alias("__t"))
-    order = F.desc if descending else F.asc
-    w = Window.orderBy(order("__span")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__span", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__base"))  # at most 64 rows
-    own = Window.partitionBy("__span").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.withColumn("__own", F.coalesce(F.sum(n).over(own), F.lit(0))).join(F.broadcast(totals), "__span").withColumn("__before", F.col("__base") + F.col("__own"))
+def _with_base(parts: DataFrame, group: list[str], last: Column, upto: Column, name: str) -> DataFrame:
+    """Adds ``name``: ``upto`` (a window function) over what ``last`` makes of the group's earlier parts."""
+    sums = parts.groupBy(*group, "__part").agg(last.alias(name))  # a row for each group and part
+    sums = sums.withColumn(name, upto.over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
+    sums = sums.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__part").alias("__p"), name)
+    same = F.col("__part") == F.col("__p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    return parts.join(sums, same).drop("__p", *[f"__g_{g}" for g in group])
 
 
 def running_sum(df: DataFrame, value: str, order: list[str], group: list[str], name: str = "running") -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    parts = _with_base(_parts(df, group, order), group, F.sum(value), F.sum("__base"), "__base")
+    own = F.sum(value).over(Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = F.when(F.col("__own").isNull(), F.col("__base")).otherwise(F.col("__own") + F.coalesce("__base", F.lit(0)))
+    return parts.withColumn("__own", own).withColumn(name, both).select(*df.columns, name)
 
 
 def differences(df: DataFrame, value: str, order: list[str], group: list[str], name: str = "difference") -> DataFrame:
     """Difference to the row before; the first row keeps its value."""
-    return df.withColumn(name, F.col(value) - F.coalesce(F.lag(value).over(Window.partitionBy(*group).orderBy(*order)), F.lit(0)))
+    placed = F.struct(*order, F.struct(F.col(value).alias("x")).alias("row"))
+    parts = _with_base(_parts(df, group, order), group, F.max(placed)["row"], F.last("__base"), "__base")
+    w = Window.partitionBy(*group, "__part").orderBy(*order)
+    before = F.when(F.row_number().over(w) == 1, F.col("__base.x")).otherwise(F.lag(value).over(w))
+    return parts.withColumn("__before", before).select(*df.columns, (F.col(value) - F.coalesce("__before", F.lit(0))).alias(name))
 
 
 def as_of(probes: DataFrame, table: DataFrame, at: str, since: str, group: list[str], columns: list[str]) -> DataFrame:
     """For each probe, ``columns`` of the last row of its group with since <= at; null without one.
 
-    One sort of both sides together, not a join of each probe with all earlier rows.
+    One sort of both sides together, not a join of each probe with all earlier rows; a group goes over many tasks.
     """
     t = table.select(*group, F.col(since).alias("__t"), F.lit(0).alias("__side"), F.struct(*columns).alias("__row"), *[F.lit(None).cast(f.dataType).alias(f"__p_{f.name}") for f in probes.schema if f.name not in group])
     p = probes.select(*group, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(t.schema["__row"].dataType).alias("__row"), *[F.col(f.name).alias(f"__p_{f.name}") for f in probes.schema if f.name not in group])
-    w = Window.partitionBy(*group).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    out = t.unionByName(p).withColumn("__row", F.last("__row", ignorenulls=True).over(w)).where("__side = 1")
+    parts = _parts(t.unionByName(p), group, ["__t", "__side"])
+    last = F.max_by("__row", F.when(F.col("__row").isNotNull(), F.struct("__t", "__row")))
+    parts = _with_base(parts, group, last, F.last("__base", ignorenulls=True), "__base")
+    w = Window.partitionBy(*group, "__part").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.withColumn("__row", F.coalesce(F.last("__row", ignorenulls=True).over(w), F.col("__base"))).where("__side = 1")
     return out.select(*[F.col(f"__p_{c}").alias(c) if c not in group else F.col(c) for c in probes.columns], *[F.col(f"__row.{c}").alias(c) for c in columns])
 
 

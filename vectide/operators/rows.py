@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vectide.functions import vectors as V
 
 from .neighbours import _bytes, dense, spread
+from .tables import medians
 
 SMALL = 64 << 20
 #: Rows that a kernel takes together.
@@ -33,6 +34,13 @@ class Rows:
         else:
             self.data = spread(self.data)
 
+    @classmethod
+    def of(cls, matrix: np.ndarray) -> Rows:
+        """Rows that the driver has."""
+        rows = cls.__new__(cls)
+        rows.matrix, rows.data = matrix, None
+        return rows
+
     def add_up(self, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """The sum of f over blocks of rows; f gives a flat array of one size."""
         if self.matrix is not None:
@@ -71,6 +79,6 @@ class Rows:
                     yield pa.RecordBatch.from_arrays([pa.array(cells(dense(part.column(0)))), part.column(0)], names=["c", "v"])
 
         long = self.data.mapInArrow(run, "c long, v array<double>").select("c", F.posexplode("v").alias("pos", "x"))
-        for r in long.groupBy("c", "pos").agg(F.median("x").alias("m")).collect():  # a row for each cell and dimension
-            out[r["c"], r["pos"]] = r["m"]
+        for r in medians(long, ["c", "pos"], "x").collect():  # a row for each cell and dimension
+            out[r["c"], r["pos"]] = r["median"]
         return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
@@ -75,6 +75,28 @@ def transpose(df: DataFrame, key: str, v: str) -> DataFrame:
     return elements(df, v, key).groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, "x"))), lambda s: s["x"]).alias("v"))
 
 
+def transpose_blocks(df: DataFrame, key: str, v: str, block: int = 1 << 16) -> DataFrame:
+    """pos, block, v: the same in blocks of ``block`` keys, for more vectors than a row can hold."""
+    long = elements(df, v, key).withColumn("block", F.floor(F.col(key) / block))
+    return long.groupBy("pos", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, "x"))), lambda s: s["x"]).alias("v"))
+
+
+def medians(long: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys, median: exact medians by group, without all values of a group in one place.
+
+    Approximate quantiles on both sides of the middle come first; the values between them, a few thousandths of the
+    group, are counted by value, and their places follow from the number of values below. Nulls and NaN don't count."""
+    values = long.where(F.col(x).isNotNull() & ~F.isnan(x)).select(*keys, F.col(x).cast("double").alias("__x"))
+    around = values.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__x", F.array(F.lit(0.499), F.lit(0.501)), F.lit(10_000)).alias("__q"))
+    met = values.join(around, keys).where(F.col("__x") <= F.get("__q", 1))
+    below = F.col("__x") < F.get("__q", 0)
+    counted = met.groupBy(*keys, F.when(~below, F.col("__x")).alias("__x")).agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__x").asc_nulls_first()))
+    placed = counted.withColumn("__upto", upto).where("__x IS NOT NULL")
+    at = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("__x")))
+    return placed.groupBy(*keys).agg(((at(F.floor((F.col("__n") - 1) / 2)) + at(F.floor(F.col("__n") / 2))) / 2).alias("median"))
+
+
 def pick(df: DataFrame, wanted: DataFrame, key: str, want: str) -> DataFrame:
     """Rows by a list of keys; a key listed twice comes twice. ``wanted`` may hold the position in the list."""
     return wanted.join(df, wanted[want] == df[key])
@@ -98,8 +120,6 @@ def random_permutation(df: DataFrame, key: str, seed: int = 0, name: str = "plac
     """Adds the row's place, from 0, in an order that seed and key fix.
 
     Places are counted within 256 ranges of the hash and added up, so no task ranks all rows."""
-    from pyspark.sql import Window
-
     h = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("__b", F.shiftright("__h", 56).cast("int"))
     sizes = h.groupBy("__b").agg(F.count("*").alias("__n"))  # at most 256 rows
     base = sizes.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
