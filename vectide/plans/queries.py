@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
 from vectide.operators import clustering, descriptors, hamming, inverted, linalg, lsh, mixture, neighbours, ordered, tables
+from vectide.plans import rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,8 +239,8 @@ _PAIRS = {
     "intersection": "list_sum(list_transform(list_zip(q.v, b.v), lambda z: least(z[1], z[2])))",
     "dot": "list_sum(list_transform(list_zip(q.v, b.v), lambda z: z[1] * z[2]))",
 }
-# how many queries: a twentieth of the base, by key
-_Q, _Q_SQL = "id % 20 = 0", "q.id % 20 = 0"
+# a search takes every row whose id is divisible by 50 as a query, against all rows
+_Q, _Q_SQL = "id % 50 = 0", "q.id % 50 = 0"
 
 
 def _knn_sql(dis: str, k: int, where: str = _Q_SQL) -> str:
@@ -256,13 +257,14 @@ add("knn_all", lambda s, d: _dis(neighbours.knn(E(s, d), E(s, d), 10)), _knn_sql
 add("knn_weighted", lambda s, d: _dis(neighbours.knn(E(s, d).where(_Q), E(s, d).withColumn("w", F.lit(1.0) + F.col("label")), 5, weights="w")), _knn_sql(f"{_PAIRS['l2']} * (1.0 + b.label)", 5))
 add("nearest_assignment", lambda s, d: _dis(neighbours.nearest(E(s, d), E(s, d).where("id < 20"))), f"SELECT qid, bid, dis FROM ({_knn_sql(_PAIRS['l2'], 1, 'b.id < 20')})")
 add("nearest_total", lambda s, d: neighbours.nearest(E(s, d), E(s, d).where("id < 20")).agg(rounded(F.sum("dis"), 4).alias("total")), f"SELECT {rounded_sql('sum(dis)', 4)} total FROM (SELECT q.id, min({_PAIRS['l2']}) dis FROM {E_SQL} q, {E_SQL} b WHERE b.id < 20 GROUP BY q.id)")
-add("cross_distances", lambda s, d: _dis(neighbours.cross_distances(E(s, d).where(_Q), E(s, d).where("id < 50"))), f"SELECT q.id aid, b.id bid, {rounded_sql(_PAIRS['l2'])} dis FROM {E_SQL} q, {E_SQL} b WHERE {_Q_SQL} AND b.id < 50")
-add("cross_distances_l1", lambda s, d: _dis(neighbours.cross_distances(E(s, d).where(_Q), E(s, d).where("id < 50"), "l1")), f"SELECT q.id aid, b.id bid, {rounded_sql(_PAIRS['l1'])} dis FROM {E_SQL} q, {E_SQL} b WHERE {_Q_SQL} AND b.id < 50")
+add("cross_distances", lambda s, d: _dis(neighbours.cross_distances(E(s, d).where(_Q), E(s, d))), f"SELECT q.id aid, b.id bid, {rounded_sql(_PAIRS['l2'])} dis FROM {E_SQL} q, {E_SQL} b WHERE {_Q_SQL}")
+add("cross_distances_l1", lambda s, d: _dis(neighbours.cross_distances(E(s, d).where(_Q), E(s, d), "l1")), f"SELECT q.id aid, b.id bid, {rounded_sql(_PAIRS['l1'])} dis FROM {E_SQL} q, {E_SQL} b WHERE {_Q_SQL}")
 add("one_against_all", lambda s, d: _dis(neighbours.cross_distances(E(s, d), E(s, d).where("id = 7"))), f"SELECT q.id aid, b.id bid, {rounded_sql(_PAIRS['l2'])} dis FROM {E_SQL} q, {E_SQL} b WHERE b.id = 7")
 add(
     "rerank_shortlist",
-    lambda s, d: _dis(neighbours.rerank(E(s, d).where(_Q).select(F.col("id").alias("qid"), F.explode(V.int_range(0, 40)).alias("bid")), E(s, d), E(s, d), 5)),
-    _knn_sql(_PAIRS["l2"], 5, f"{_Q_SQL} AND b.id < 40"),
+    # the shortlist of a query: what has its label
+    lambda s, d: _dis(neighbours.rerank(E(s, d).where(_Q).select(F.col("id").alias("qid"), "label").join(E(s, d).select(F.col("id").alias("bid"), "label"), "label"), E(s, d), E(s, d), 5)),
+    _knn_sql(_PAIRS["l2"], 5, f"{_Q_SQL} AND b.label = q.label"),
 )
 
 # order and rank
@@ -346,16 +348,16 @@ def _long(s: SparkSession, d: str) -> DataFrame:
 
 
 for flags in ("nn", "nt", "tn", "tt"):
-    # left is 20 x 64 or its transpose, right 64 x 20 or its transpose
+    # left is n x 64 or its transpose, right 64 x n or its transpose
     add(
         f"matmul_{flags}",
         lambda s, d, flags=flags: linalg.matmul(
-            _long(s, d).where("id < 20").select(F.col("id" if flags[0] == "n" else "pos").alias("i"), F.col("pos" if flags[0] == "n" else "id").alias("k"), "x"),
-            _long(s, d).where("id >= 20 AND id < 40").select(F.col("pos" if flags[1] == "n" else "id").alias("k"), F.col("id" if flags[1] == "n" else "pos").alias("j"), "x"),
+            _long(s, d).select(F.col("id" if flags[0] == "n" else "pos").alias("i"), F.col("pos" if flags[0] == "n" else "id").alias("k"), "x"),
+            _long(s, d).select(F.col("pos" if flags[1] == "n" else "id").alias("k"), F.col("id" if flags[1] == "n" else "pos").alias("j"), "x"),
             transpose_left=flags[0] == "t",
             transpose_right=flags[1] == "t",
         ).select("i", "j", rounded(F.col("x")).alias("x")),
-        f"SELECT a.id i, b.id j, {rounded_sql('sum(a.x * b.x)')} x FROM {_LONG} a JOIN {_LONG} b USING (pos) WHERE a.id < 20 AND b.id >= 20 AND b.id < 40 GROUP BY a.id, b.id",
+        f"SELECT a.id i, b.id j, {rounded_sql('sum(a.x * b.x)')} x FROM {_LONG} a JOIN {_LONG} b USING (pos) GROUP BY a.id, b.id",
     )
 add("matrix_vector", lambda s, d: E(s, d).select("id", rounded(V.dot("v", F.array(*[F.lit(float(i % 3)) for i in range(64)]))).alias("x")), f"SELECT id, {rounded_sql('sum(x * (pos % 3))')} x FROM {_LONG} GROUP BY id")
 vector_query("submatrix_rows", lambda: F.slice("v", 1, 10), "v[1:10]")
@@ -386,10 +388,25 @@ add(
     f"SELECT a.pos::BIGINT i, b.pos::BIGINT j, {rounded_sql('covar_pop(a.x, b.x)')} c FROM {_LONG} a JOIN {_LONG} b USING (id) GROUP BY a.pos, b.pos",
 )
 add("pca_total_variance", lambda s, d: s.createDataFrame([(round(float(linalg.pca(E(s, d)).values.sum()), 6),)], "total double"), f"SELECT {rounded_sql('sum(v)')} total FROM (SELECT var_pop(x) v FROM {_LONG} GROUP BY pos)")
-add("pca_project", lambda s, d: linalg.pca(E(s, d), 8).project(E(s, d)).select("id", F.posexplode("p").alias("pos", "x")).select("id", "pos", rounded(F.col("x")).alias("x")))
-add("svd_values", lambda s, d: s.createDataFrame([(i, float(x)) for i, x in enumerate(linalg.svd(E(s, d), 8)[0])], "i long, x double"))
+_GRAM = f"SELECT a.pos i, b.pos j, sum(a.x * b.x) x FROM {_LONG} a JOIN {_LONG} b USING (id) GROUP BY a.pos, b.pos"
+
+
+def _projected(s: SparkSession, d: str) -> DataFrame:
+    """Inner products of all projections with that of vector 0: the same in any orthogonal basis."""
+    p = linalg.pca(E(s, d), 64).project(E(s, d))
+    first = F.array(*[F.lit(float(x)) for x in p.where("id = 0").first()["p"]])
+    return p.select("id", rounded(V.dot("p", first)).alias("x"))
+
+
+def _power_sums(s: SparkSession, values) -> DataFrame:
+    """Sums of powers of eigenvalues over the power of their sum."""
+    return s.createDataFrame([(p, round(float(((values / values.sum()) ** p).sum()), 9)) for p in range(1, 5)], "p long, x double")
+
+
+add("pca_project", _projected, f"SELECT a.id, {rounded_sql('sum(a.x * b.x)')} x FROM (SELECT id, pos, x - avg(x) OVER (PARTITION BY pos) x FROM {_LONG}) a JOIN (SELECT id, pos, x - avg(x) OVER (PARTITION BY pos) x FROM {_LONG}) b USING (pos) WHERE b.id = 0 GROUP BY a.id")
+add("svd_values", lambda s, d: _power_sums(s, linalg.svd(E(s, d), 64)[0] ** 2), rounds.power_sums(_GRAM, 4))
 add("online_pca", lambda s, d: _online_pca(s, d), f"SELECT {rounded_sql('sum(v)')} total, any_value(n)::BIGINT n FROM (SELECT var_samp(x) v, count(*) n FROM {_LONG} GROUP BY pos)")
-add("eigenvalues_of_gram", lambda s, d: s.createDataFrame([(i, float(x)) for i, x in enumerate(linalg.eigen(linalg.moments(E(s, d)).gram)[0])], "i long, x double"))
+add("eigenvalues_of_gram", lambda s, d: _power_sums(s, linalg.eigen(linalg.moments(E(s, d)).gram)[0]), rounds.power_sums(_GRAM, 4))
 add("least_squares", lambda s, d: s.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(linalg.least_squares(E(s, d).withColumn("y", V.dot("v", F.array(*[F.lit(float(i)) for i in range(64)])))))], "i long, x double"), "SELECT i::BIGINT i, i::DOUBLE x FROM range(64) t(i)")
 
 
@@ -410,7 +427,7 @@ def codes(s: SparkSession, d: str) -> DataFrame:
 _CODE = f"(SELECT id, label, v, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) bits FROM {E_SQL})"
 _BITS = "list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::BIGINT"
 add("sign_bits_set", lambda s, d: codes(s, d).select("id", F.bit_count(F.get("code", 0)).cast("bigint").alias("n")), f"SELECT id, list_sum(bits)::BIGINT n FROM {_CODE}")
-add("hamming_distances", lambda s, d: hamming.distances(codes(s, d).where("id < 20"), codes(s, d)), f"SELECT a.id qid, b.id bid, {_BITS} score FROM {_CODE} a, {_CODE} b WHERE a.id < 20")
+add("hamming_distances", lambda s, d: hamming.distances(codes(s, d).where(_Q), codes(s, d)), f"SELECT a.id qid, b.id bid, {_BITS} score FROM {_CODE} a, {_CODE} b WHERE a.id % 50 = 0")
 add("hamming_range_join", lambda s, d: hamming.range_join(codes(s, d), codes(s, d), 22), f"SELECT * FROM (SELECT a.id qid, b.id bid, {_BITS} score FROM {_CODE} a, {_CODE} b) WHERE score <= 22")
 add("hamming_bands", lambda s, d: hamming.range_join(codes(s, d), codes(s, d), 4), f"SELECT * FROM (SELECT a.id qid, b.id bid, {_BITS} score FROM {_CODE} a, {_CODE} b) WHERE score <= 4")
 add("hamming_count", lambda s, d: hamming.count_within(codes(s, d), codes(s, d), 24), f"SELECT count(*)::BIGINT n FROM (SELECT {_BITS} score FROM {_CODE} a, {_CODE} b) WHERE score <= 24")
@@ -428,34 +445,52 @@ def _probe(s: SparkSession, d: str) -> DataFrame:
 
 add("inverted_sizes", lambda s, d: _file(s, d).sizes(), "SELECT k::BIGINT \"key\", count(label)::BIGINT n FROM range(10) t(k) LEFT JOIN embeddings ON label = k GROUP BY k")
 add("inverted_imbalance", lambda s, d: _file(s, d).imbalance().select(rounded(F.col("factor")).alias("factor")), f"SELECT {rounded_sql('count(*) * sum(n * n) / pow(sum(n), 2)')} factor FROM (SELECT count(label)::DOUBLE n FROM range(10) t(k) LEFT JOIN embeddings ON label = k GROUP BY k)")
-add("inverted_probe", lambda s, d: _file(s, d).probe(_probe(s, d), 28), f"SELECT * FROM (SELECT a.id qid, b.id bid, a.label::BIGINT \"key\", {_BITS} score FROM {_CODE} a JOIN {_CODE} b USING (label) WHERE a.id % 20 = 0) WHERE score <= 28")
+add("inverted_probe", lambda s, d: _file(s, d).probe(_probe(s, d), 28), f"SELECT * FROM (SELECT a.id qid, b.id bid, a.label::BIGINT \"key\", {_BITS} score FROM {_CODE} a JOIN {_CODE} b USING (label) WHERE a.id % 50 = 0) WHERE score <= 28")
 add(
     "inverted_probe_weighted",
     lambda s, d: _file(s, d).probe_weighted(_probe(s, d), 28, inverted.falling_scores(28), s.range(10).select(F.col("id").alias("key"), (F.col("id") + 1.0).alias("w"))).withColumn("score", rounded(F.col("score"))),
-    f"SELECT qid, bid, \"key\", {rounded_sql('pow(1 - h / 28.0::DOUBLE, 3) * (key + 1)')} score FROM (SELECT a.id qid, b.id bid, a.label::BIGINT \"key\", {_BITS} h FROM {_CODE} a JOIN {_CODE} b USING (label) WHERE a.id % 20 = 0) WHERE h <= 28",
+    f"SELECT qid, bid, \"key\", {rounded_sql('pow(1 - h / 28.0::DOUBLE, 3) * (key + 1)')} score FROM (SELECT a.id qid, b.id bid, a.label::BIGINT \"key\", {_BITS} h FROM {_CODE} a JOIN {_CODE} b USING (label) WHERE a.id % 50 = 0) WHERE h <= 28",
 )
 add("inverted_crossmatch", lambda s, d: _file(s, d).crossmatches(26), f"SELECT * FROM (SELECT a.label::BIGINT \"key\", a.id aid, b.id bid, {_BITS} score FROM {_CODE} a JOIN {_CODE} b USING (label) WHERE a.id < b.id) WHERE score <= 26")
 add("inverted_crossmatch_symmetric", lambda s, d: _file(s, d).crossmatches(26, symmetric=True), f"SELECT * FROM (SELECT a.label::BIGINT \"key\", a.id aid, b.id bid, {_BITS} score FROM {_CODE} a JOIN {_CODE} b USING (label)) WHERE score <= 26")
 add(
     "image_votes",
     lambda s, d: _file(s, d).probe_weighted(_probe(s, d), 28, inverted.falling_scores(28)).groupBy("qid", (F.col("bid") % 50).alias("image")).agg(rounded(F.sum("score")).alias("votes")),
-    f"SELECT qid, image, {rounded_sql('sum(pow(1 - h / 28.0::DOUBLE, 3))')} votes FROM (SELECT a.id qid, b.id % 50 image, {_BITS} h FROM {_CODE} a JOIN {_CODE} b USING (label) WHERE a.id % 20 = 0) WHERE h <= 28 GROUP BY qid, image",
+    f"SELECT qid, image, {rounded_sql('sum(pow(1 - h / 28.0::DOUBLE, 3))')} votes FROM (SELECT a.id qid, b.id % 50 image, {_BITS} h FROM {_CODE} a JOIN {_CODE} b USING (label) WHERE a.id % 50 = 0) WHERE h <= 28 GROUP BY qid, image",
 )
-add("hamming_embedding", lambda s, d: _hamming_embedding(s, d))
-
-
 def _hamming_embedding(s: SparkSession, d: str) -> DataFrame:
-    he = inverted.HammingEmbedding.learn(E(s, d), 8, 32, rounds=5)
+    """A codebook of the first 8 vectors, and rows of a Hadamard matrix as rotation; medians are learnt."""
+    he = inverted.HammingEmbedding.learn(E(s, d), 8, 32, centroids=E(s, d).where("id < 8").select("id", "v"), rotation=linalg.hadamard(64)[:32] / 8)
     signed = he.signatures(E(s, d))
     return inverted.InvertedFile.build(signed, 8).probe(signed.select(F.col("id").alias("qid"), "key", "code"), 8)
 
 
+add(
+    "hamming_embedding",
+    _hamming_embedding,
+    f"""WITH e AS (SELECT id, v FROM {E_SQL}), c AS (SELECT id, v FROM e WHERE id < 8),
+    a AS (SELECT e.id, arg_min(c.id, {rounds.distance("l2")}) key FROM e, c GROUP BY e.id),
+    t AS (SELECT id, key, j, sum(CASE WHEN bit_count(j & pos) % 2 = 0 THEN x ELSE -x END) / 8 x FROM {_LONG} JOIN a USING (id), range(32) h(j) GROUP BY id, key, j),
+    b AS (SELECT id, key, list(CASE WHEN x > m THEN 1 ELSE 0 END ORDER BY j) bits FROM (SELECT *, median(x) OVER (PARTITION BY key, j) m FROM t) GROUP BY id, key)
+    SELECT * FROM (SELECT a.id qid, b.id bid, a.key::BIGINT "key", {_BITS} score FROM b a JOIN b USING (key)) WHERE score <= 8""",
+)
+
+
 # k-means LSH
 add("lsh_knn", lambda s, d: _dis(lsh.approximate_knn(E(s, d).where(_Q), E(s, d), 5)))
+add("lsh_recall", lambda s, d: _lsh_recall(s, d), "SELECT true enough")
 add("lsh_cell_sizes", lambda s, d: lsh.cell_sizes(lsh.Codebooks.learn(E(s, d), 2, 10).index(E(s, d))))
 
+
+
+def _lsh_recall(s: SparkSession, d: str) -> DataFrame:
+    """Whether the index finds nine tenths of what exact search finds."""
+    found, true = (f(E(s, d).where(_Q), E(s, d), 5).select("qid", "bid") for f in (lsh.approximate_knn, neighbours.knn))
+    met = true.join(found.withColumn("found", F.lit(1)), ["qid", "bid"], "left")
+    return met.agg((F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+
+
 # clustering
-_INIT = "id < 10"
 _ASSIGN = "(SELECT e.id, e.v, arg_min(c.id, list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) c FROM {e} e, {c} c GROUP BY e.id, e.v)"
 _UPDATE = "(SELECT c id, list(x ORDER BY pos) v FROM (SELECT c, pos, avg(x) x FROM (SELECT c, generate_subscripts(v, 1) pos, unnest(v) x FROM {a}) GROUP BY c, pos) GROUP BY c)"
 _C0 = f"(SELECT id, v FROM {E_SQL} WHERE id < 10)"
@@ -466,12 +501,24 @@ add(
     lambda s, d: clustering.kmeans_table(E(s, d), 10, rounds=2, init="first").select("cluster", "pos", rounded(F.col("x")).alias("x")),
     f"SELECT id \"cluster\", pos::BIGINT pos, {rounded_sql('x')} x FROM (SELECT id, generate_subscripts(v, 1) - 1 pos, unnest(v) x FROM {_C2})",
 )
-add("kmeans_converged", lambda s, d: clustering.kmeans(E(s, d), 10, rounds=30, init="plusplus", redo=2).assign(E(s, d)).groupBy("cluster").agg(F.count("*").alias("n")))
-add("kmeans_l1", lambda s, d: clustering.kmeans(E(s, d), 5, "l1", rounds=5, init="first").assign(E(s, d)).groupBy("cluster").agg(F.count("*").alias("n")))
-add("kmeans_chi2", lambda s, d: clustering.kmeans(E(s, d).withColumn("v", F.transform("v", F.abs)), 5, "chi2", rounds=4, init="first").assign(E(s, d).withColumn("v", F.transform("v", F.abs))).groupBy("cluster").agg(F.count("*").alias("n")))
-add("kmeans_spherical", lambda s, d: clustering.kmeans(E(s, d), 5, "cosine", rounds=8, init="first").assign(E(s, d)).groupBy("cluster").agg(F.count("*").alias("n")))
-add("hierarchical_kmeans", lambda s, d: clustering.hierarchical(E(s, d), 3, 2, rounds=5).quantize(E(s, d)).groupBy("leaf").agg(F.count("*").alias("n")))
-add("gaussian_kernel", lambda s, d: clustering.gaussian_kernel(E(s, d).where("id < 30"), 0.7).select("aid", "bid", rounded(F.col("x")).alias("x")), f"SELECT q.id aid, b.id bid, CASE WHEN q.id = b.id THEN 0.0 ELSE {rounded_sql('exp(-' + _PAIRS['l2'] + ' / (2 * 0.7 * 0.7))')} END x FROM {E_SQL} q, {E_SQL} b WHERE q.id < 30 AND b.id < 30")
+_SIZES = "SELECT c \"cluster\", count(*)::BIGINT n FROM a GROUP BY c"
+_ABS = E_SQL.replace("embedding::DOUBLE[] v,", "list_transform(embedding::DOUBLE[], lambda x: abs(x)) v,")
+
+
+def _sizes(s: SparkSession, d: str, k: int, metric: str, n: int) -> DataFrame:
+    e = E(s, d).withColumn("v", F.transform("v", F.abs)) if metric == "chi2" else E(s, d)
+    return clustering.kmeans(e, k, metric, rounds=n, init="first").assign(e).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+for name, k, metric, n in (("converged", 10, "l2", 30), ("l1", 5, "l1", 5), ("chi2", 5, "chi2", 4), ("spherical", 5, "cosine", 8)):
+    add(f"kmeans_{name}", lambda s, d, k=k, metric=metric, n=n: _sizes(s, d, k, metric, n), rounds.statement([*rounds.points(_ABS if metric == "chi2" else E_SQL), *rounds.kmeans(k, n, metric)], _SIZES))
+add("kmeans_plusplus", lambda s, d: clustering.kmeans(E(s, d), 10, rounds=30, init="plusplus", redo=2).assign(E(s, d)).groupBy("cluster").agg(F.count("*").alias("n")))
+add(
+    "hierarchical_kmeans",
+    lambda s, d: clustering.hierarchical(E(s, d), 3, 2, rounds=5, init="first").quantize(E(s, d)).groupBy("leaf").agg(F.count("*").alias("n")),
+    rounds.statement([*rounds.points(E_SQL), *rounds.hierarchy(3, 5)], "SELECT leaf, count(*)::BIGINT n FROM leaf GROUP BY leaf"),
+)
+add("gaussian_kernel", lambda s, d: clustering.gaussian_kernel(E(s, d), 0.7).select("aid", "bid", rounded(F.col("x")).alias("x")), f"SELECT q.id aid, b.id bid, CASE WHEN q.id = b.id THEN 0.0 ELSE {rounded_sql('exp(-' + _PAIRS['l2'] + ' / (2 * 0.7 * 0.7))')} END x FROM {E_SQL} q, {E_SQL} b")
 add("spectral_clustering", lambda s, d: clustering.spectral(E(s, d), 3, 0.7))
 
 
@@ -480,10 +527,26 @@ def _mixture(s: SparkSession, d: str) -> mixture.Mixture:
     return mixture.fit(E(s, d), 4, rounds=5, init="first")
 
 
-add("gmm_fit", lambda s, d: _mixture(s, d).table(s))
-add("gmm_posteriors", lambda s, d: _mixture(s, d).assign(E(s, d)))
-add("fisher_vector", lambda s, d: mixture.fisher(E(s, d), _mixture(s, d), "label", ("w", "mu", "sigma")))
-add("fisher_vector_each", lambda s, d: mixture.fisher(E(s, d), _mixture(s, d), "id", ("mu",)))
+def _mixture_table(s: SparkSession, d: str) -> DataFrame:
+    both = F.arrays_zip(F.col("mu").alias("mu"), F.col("sigma").alias("sigma"))
+    t = _mixture(s, d).table(s).select(F.col("comp").cast("bigint").alias("comp"), "w", F.posexplode(both).alias("pos", "x"))
+    return t.select("comp", F.col("pos").cast("bigint").alias("pos"), rounded(F.col("w")).alias("w"), rounded(F.col("x.mu")).alias("mu"), rounded(F.col("x.sigma")).alias("sigma"))
+
+
+def _fisher(s: SparkSession, d: str, group: str, include: tuple[str, ...]) -> DataFrame:
+    found = mixture.fisher(E(s, d), _mixture(s, d), group, include).select(group, F.posexplode("fv").alias("pos", "x"))
+    return found.select(group, F.col("pos").cast("bigint").alias("pos"), rounded(F.col("x"), 4).alias("x"))
+
+
+_EM = rounds.points(E_SQL)
+add("gmm_fit", _mixture_table, rounds.statement([*_EM, *rounds.mixture(4, 5)], f"SELECT comp::BIGINT comp, pos - 1 pos, {rounded_sql('w')} w, {rounded_sql('mu')} mu, {rounded_sql('sg')} sigma FROM g JOIN w USING (comp)"))
+add(
+    "gmm_posteriors",
+    lambda s, d: _mixture(s, d).assign(E(s, d)).select("id", F.posexplode("p").alias("comp", "p")).select("id", F.col("comp").cast("bigint").alias("comp"), rounded(F.col("p")).alias("p")),
+    rounds.statement([*_EM, *rounds.mixture(4, 5)], f"SELECT id, comp::BIGINT comp, {rounded_sql('p')} p FROM p"),
+)
+add("fisher_vector", lambda s, d: _fisher(s, d, "label", ("w", "mu", "sigma")), rounds.statement([*_EM, *rounds.fisher(4, 5, "label", ("w", "mu", "sigma"))], f"SELECT g \"label\", pos::BIGINT pos, {rounded_sql('x', 4)} x FROM f"))
+add("fisher_vector_each", lambda s, d: _fisher(s, d, "id", ("mu",)), rounds.statement([*_EM, *rounds.fisher(4, 5, "id", ("mu",))], f"SELECT g id, pos::BIGINT pos, {rounded_sql('x', 4)} x FROM f"))
 
 # descriptors
 _NEAR = _ASSIGN.format(e="(SELECT id, v FROM " + E_SQL + ")", c="(SELECT id, v FROM " + E_SQL + " WHERE id < 8)")
@@ -537,13 +600,9 @@ def _judged(s: SparkSession, d: str) -> DataFrame:
 
 # files and streams
 def _round_trip(s: SparkSession, d: str, elem: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    from vectide.sources import vecfiles
+    from vectide.sources import shared, vecfiles
 
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    path = shared.new_path(s, "vectors")
     column = {"f32": F.col("v").cast("array<float>"), "i32": F.col("iv").cast("array<int>"), "i64": F.col("iv"), "u8": F.transform("iv", lambda x: (x + 100).cast("smallint"))}[elem]
     vecfiles.write_vectors(E(s, d).select(column.alias("v")).coalesce(2), path, elem)
     return vecfiles.read_vectors(s, path, elem=elem).select(F.posexplode("v").alias("pos", "x")).groupBy(F.col("pos").cast("bigint").alias("pos")).agg(rounded(F.sum(F.col("x").cast("double")), 4).alias("total"), F.count("*").alias("n"))
