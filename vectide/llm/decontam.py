@@ -62,19 +62,28 @@ class _Pieces(dict):
 
     def __init__(self):
         super().__init__()
-        self.n, self.token, self.value = 0, np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
-        self.capital, self.end = np.zeros(1024, bool), np.zeros(1024, bool)
+        self.rows: list[tuple[int, int, bool, bool]] = []  # those that the tables lack
+        self.tables = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)]
+        self.n = 0
         self[""] = self._add(0, 0, False, False)
         self["\n"] = self._add(0, 0, False, True)
-        self[" "] = self._add(END, END, False, True)  # never a piece
-
-    def _add(self, token, value, capital: bool, end: bool) -> int:
-        if self.n == len(self.token):
-            self.token, self.value, self.capital, self.end = (np.concatenate((x, np.zeros_like(x))) for x in (self.token, self.value, self.capital, self.end))
-        n = self.n
-        self.token[n], self.value[n], self.capital[n], self.end[n] = token, value, capital, end
-        self.n += 1
-        return n
+        self[" "] = self._add(int(END), int(END), False, True)  # never a piece
+
+    def _add(self, *row) -> int:
+        self.rows.append(row)
+        return len(self.rows) - 1 + self.n
+
+    def of(self, pieces: list[str]) -> list[np.ndarray]:
+        """The tables' entries of these pieces."""
+        codes = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        if self.rows:
+            while len(self.tables[0]) < self.n + len(self.rows):
+                self.tables = [np.concatenate((x, np.zeros(max(1024, len(x)), x.dtype))) for x in self.tables]
+            for table, column in zip(self.tables, zip(*self.rows, strict=True), strict=True):
+                table[self.n : self.n + len(self.rows)] = np.array(column, table.dtype)
+            self.n += len(self.rows)
+            self.rows = []
+        return [x[codes] for x in self.tables]
 
     def __missing__(self, piece: str) -> int:
         end = False
@@ -83,17 +92,31 @@ class _Pieces(dict):
         elif piece[-1] in ",." and piece[:-1].isalpha():
             core, end = piece[:-1], piece[-1] == "."
         else:
-            core = _EDGES.sub("", piece)
-            end = piece.rstrip("\"')]»”’")[-1:] in tuple(".!?:;")
+            return self._odd(piece)
+        low = core.lower()
+        said = _hash(low)
+        if low in NUMBER_WORDS:
+            code = self._add(int(NUM), said, False, end)
+        elif low in UNITS:
+            code = self._add(int(UNIT), said, False, end)
+        else:
+            code = self._add(said, said, core[0].isupper() and core != "I", end)
+        self[piece] = code
+        return code
+
+    def _odd(self, piece: str) -> int:
+        """Not just letters."""
+        core = _EDGES.sub("", piece)
+        end = piece.rstrip("\"')]»”’")[-1:] in tuple(".!?:;")
         low = core.lower()
         if not core:
             code = self._add(0, 0, False, end)
         elif low in NUMBER_WORDS or _NUMBER.fullmatch(core):
-            code = self._add(NUM, _hash(low), False, end)
+            code = self._add(int(NUM), _hash(low), False, end)
         elif low in UNITS:
-            code = self._add(UNIT, _hash(low), False, end)
+            code = self._add(int(UNIT), _hash(low), False, end)
         else:
-            code = self._add(_hash(low if low.isalpha() else _DIGITS.sub("0", low)), _hash(low), core[0].isupper() and core != "I", end)
+            code = self._add(_hash(_DIGITS.sub("0", low)), _hash(low), core[0].isupper() and core != "I", end)
         self[piece] = code
         return code
 
@@ -126,22 +149,21 @@ class Template:
                         text = text.replace(blank, " ")
                 raw += text.replace("\n", " \n ").split(" ")
             raw.append(" ")
-        codes = np.fromiter(map(pieces.__getitem__, raw), np.int64, len(raw))
-        token, end = pieces.token[codes], pieces.end[codes]
+        token, value, capital, end = pieces.of(raw)
         at = np.flatnonzero(token)
         # a capital makes a name unless a sentence starts there; pieces without a token pass the end of a sentence on
         last = np.maximum.accumulate(np.where((token != 0) | end, np.arange(len(end)), -1))
         before = np.where(at > 0, last[at - 1], -1)
         begins = (before < 0) | end[before]
         tokens = token[at]
-        tokens[pieces.capital[codes[at]] & ~begins] = NAME
+        tokens[capital[at] & ~begins] = NAME
         # neighbouring numbers or names are one
         new = np.ones(len(at), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | ((tokens[1:] != NUM) & (tokens[1:] != NAME))
         self.heads = np.flatnonzero(new)
         place = np.arange(len(at)) - self.heads[np.cumsum(new) - 1]
         self.tokens, self.begins = tokens[self.heads], begins[self.heads]
-        self.values = np.add.reduceat(pieces.value[codes[at]] * _FACTORS[place % 64], self.heads)
+        self.values = np.add.reduceat(value[at] * _FACTORS[place % 64], self.heads)
         self.raw, self.at = raw, at
 
     def said(self, k: int) -> str:
