@@ -179,6 +179,13 @@ def test_encoder_equals_the_tokenizer():
         assert len(encoder.pieces) + len(encoder.older) <= 40 + 16
 
 
+def test_letters_that_grow_in_lower_case():
+    """A letter whose lower case has a combining mark, alone first, then before a full stop."""
+    encoder = PieceEncoder(tokenizer_path())
+    for text in ("İ", "İ.", "aİ b", "aİ, aİ.", "The THE the", "<|ENDOFTEXT|> A", "<|endoftext|> A", "ΑΣ Σ ΑΣ.", "KÅ"):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # --- 3
 
 QUESTION = "If Anna has 12 apples in 3 baskets and eats 4 apples each day, after how many days will Anna have no apples left in the 3 baskets?"

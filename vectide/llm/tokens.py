@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from itertools import chain
+from string import ascii_uppercase
 
 import numpy as np
 
@@ -35,6 +36,9 @@ class PieceEncoder:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.marks = {c: self._encode(c) for c in ",."}
+        # capitals A-Z say nothing to a tokenizer that lowers them, but where they could become an added token
+        self.lowers = all(self._encode(c) == self._encode(c.lower()) for c in ascii_uppercase)
+        self.added = {str(x)[0] for x in self.tokenizer.get_added_tokens_decoder().values()}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
@@ -58,21 +62,18 @@ class PieceEncoder:
         for piece in pieces:
             if piece in older:
                 known[piece] = older[piece]
-            elif piece.isalpha():
+            elif piece.isalpha() and piece.lower().isalpha():  # a few letters become more than letters
                 words.append(piece)
-            elif piece[-1:] in self.marks and piece[:-1].isalpha():
+            elif piece[-1:] in self.marks and piece[:-1].isalpha() and piece[:-1].lower().isalpha():
                 marked.append(piece)
             else:
                 odd.append(piece)
         words += {x[:-1] for x in marked}.difference(known, words)
-        if not "".join(words).lower().isalpha():  # a few letters become more than letters
-            odd += [x for x in words if not x.lower().isalpha()] + [x for x in marked if not x[:-1].lower().isalpha()]
-            words, marked = [x for x in words if x.lower().isalpha()], [x for x in marked if x[:-1].lower().isalpha()]
         known.update(self._words(words))
         for piece in marked:
             known[piece] = known[piece[:-1]] + self.marks[piece[-1]]
-        for piece in odd:
-            known[piece] = self._encode(piece)
+        if odd:
+            known.update(zip(odd, (np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -80,7 +81,7 @@ class PieceEncoder:
 
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
         """ids() of some texts, whose unknown pieces are encoded together."""
-        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if x else [] for x in texts]
+        split = [self._plain(x).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if x else [] for x in texts]
         self.using = set(chain.from_iterable(split))
         if new := self.using.difference(self.pieces):
             self._learn(new)
@@ -91,6 +92,9 @@ class PieceEncoder:
                 del self.pieces[piece]
         return got
 
+    def _plain(self, text: str) -> str:
+        return text.encode().lower().decode() if self.lowers and not any(c in text for c in self.added) else text
+
     def count(self, text: str | None) -> int:
         return len(self.ids(text)) // 4
 
