@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vectide.operators.ordered import top_per_group
 from vectide.sources import vecfiles
-from vectide.streaming.state import OnlineMoments, current, running_top
+from vectide.streaming.state import OnlineMoments, current, running_top, top_stream
 
 
 def write(path, records, kind):
@@ -104,12 +105,41 @@ def test_running_top_equals_batch(spark, sf_dir, tmp_path):
     query.awaitTermination(120)
     last = query.lastProgress["batchId"]
     got = sorted(map(tuple, current(spark, f"{tmp_path}/top", last).collect()))
-    from vectide.operators.ordered import top_per_group
-
     want = sorted(map(tuple, top_per_group(events, 2, ["user_id"], order()).select("user_id", "event_id", "value").collect()))
     assert got == want
 
 
+def test_top_of_a_stream_with_state(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "value")
+    events.repartitionByRange(4, "event_id").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+    keep = lambda batch, n: batch.withColumn("n", F.lit(n)).write.mode("append").parquet(f"{tmp_path}/out")
+    for _ in range(2):  # a query that starts again goes on from its checkpoint
+        query = top_stream(stream, 2, ["user_id"], "value", "event_id").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination(180)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    last = out.join(out.groupBy("user_id").agg(F.max("n").alias("n")), ["user_id", "n"])
+    want = [(r["user_id"], r["event_id"]) for r in top_per_group(events, 2, ["user_id"], [F.asc("value"), F.asc("event_id")]).collect()]
+    assert sorted((r["user_id"], r["event_id"]) for r in last.collect()) == sorted(want) and out.select("n").distinct().count() > 1
+
+
+def test_stream_of_vector_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    seen = []
+
+    def run():
+        stream = vecfiles.stream_vectors(spark, f"{tmp_path}/in", elem="f32")
+        query = stream.writeStream.foreachBatch(lambda batch, n: seen.extend(r["v"] for r in batch.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+
+    write(f"{tmp_path}/in/b.fvecs", [[1.0, 2.0], [3.0, 4.0]], "<f4")
+    run()
+    assert sorted(seen) == [[1.0, 2.0], [3.0, 4.0]]
+    write(f"{tmp_path}/in/a.fvecs", [[5.0, 6.0]], "<f4")
+    run()
+    assert sorted(seen) == [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]
+
+
 def test_online_moments(spark):
     m = np.random.default_rng(1).random((90, 4))
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, v array<double>")

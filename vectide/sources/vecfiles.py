@@ -1,4 +1,4 @@
-"""Binary vector files as a data source: ``spark.read.format("xvecs")`` and ``df.write.format("xvecs")``.
+"""Binary vector files as a data source: ``spark.read``, ``spark.readStream`` and ``df.write`` with ``format("xvecs")``.
 
 Options: path; elem: f32, i32, u8 or i64 (by default from .fvecs, .ivecs, .bvecs, .lvecs); format: vecs (a length
 before each vector), raw (no lengths; dim needed), sparse (.spfvecs) or siftgeo; dim: fail on other lengths;
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as files
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 ELEMENTS = {"f32": ("<f4", "float"), "i32": ("<i4", "int"), "u8": ("u1", "smallint"), "i64": ("<i8", "bigint")}
@@ -114,6 +114,9 @@ class VectorFiles(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return VectorReader(dict(self.options), self._elem())
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return VectorStream(dict(self.options), self._elem())
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return VectorWriter(dict(self.options), self._elem(), overwrite)
 
@@ -137,8 +140,11 @@ class VectorReader(DataSourceReader):
         return np.dtype([v] if self.kind == "raw" else [("d", "<i4"), v])
 
     def partitions(self) -> list[Part]:
+        return self.parts_of(_files(self.options["path"]))
+
+    def parts_of(self, paths: list[str]) -> list[Part]:
         out: list[Part] = []
-        for path in _files(self.options["path"]):
+        for path in paths:
             size = _size(path)
             if self.kind == "sparse":
                 out.append(Part(path, 0, -1, 0))
@@ -205,6 +211,34 @@ class VectorReader(DataSourceReader):
         return pa.RecordBatch.from_pydict({"file": pa.array([path] * len(rows)), "idx": pa.array(range(at, at + len(rows)), pa.int64()), "v": pa.array(rows, kind)})
 
 
+class VectorStream(DataSourceStreamReader):
+    """Files as they come, in order of their time and name. Offsets count files, so files are to be moved in whole and
+    stay where they are while the stream's checkpoint is in use."""
+
+    def __init__(self, options: dict[str, str], elem: str):
+        self.options, self.reader = options, VectorReader(options, elem)
+
+    def _ordered(self) -> list[str]:
+        try:
+            paths = _files(self.options["path"])
+        except FileNotFoundError:
+            return []
+        placed = [(_place(x), x) for x in paths]
+        return [x for _, x in sorted((system.get_file_info(inner).mtime_ns or 0, x) for (system, _, inner), x in placed)]
+
+    def initialOffset(self) -> dict:
+        return {"files": 0}
+
+    def latestOffset(self) -> dict:
+        return {"files": len(self._ordered())}
+
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        return self.reader.parts_of(self._ordered()[start["files"] : end["files"]])
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(part)
+
+
 class VectorWriter(DataSourceArrowWriter):
     """One file for each task; files can be strung together. Column v holds the vectors."""
 
@@ -257,6 +291,15 @@ def read_vectors(spark, path: str, **options):
     return reader.load(path)
 
 
+def stream_vectors(spark, path: str, **options):
+    """A stream of the vectors of a folder's files, also of those that come later."""
+    register(spark)
+    reader = spark.readStream.format("xvecs")
+    for k, x in options.items():
+        reader = reader.option(k, x)
+    return reader.load(path)
+
+
 def write_vectors(df, path: str, elem: str = "f32", mode: str = "overwrite", **options) -> None:
     register(df.sparkSession)
     writer = df.select("v").write.format("xvecs").mode(mode).option("elem", elem)
