@@ -23,6 +23,8 @@ from .neighbours import block_by_block, dense, spread
 #: Bits of a band from which the band join is taken.
 LEAST_BITS = 12
 LIMIT = 128 << 20
+#: Entries of a list that go to one task.
+LIST = 1 << 16
 
 
 def _words(df: DataFrame, code: str) -> int:
@@ -51,9 +53,11 @@ def range_join(a: DataFrame, b: DataFrame, radius: int, aid: str = "id", acode:
     if bits // (radius + 1) < LEAST_BITS:
         if not on:
             return _compared(a, b, radius, aid, acode, bid, bcode, limit)
-        x = a.select(on, F.col(aid).cast("bigint").alias("qid"), F.col(acode).alias("__a"))
-        y = b.select(on, F.col(bid).cast("bigint").alias("bid"), F.col(bcode).alias("__b"))
-        return x.join(y, on).withColumn("score", V.hamming("__a", "__b")).where(F.col("score") <= radius).select("qid", "bid", on, "score")
+        # a list of more than LIST entries is dealt to parts, and its queries go to all of them
+        parts = b.groupBy(on).agg(F.ceil(F.count("*") / LIST).cast("int").alias("__parts"))
+        x = a.join(parts, on).select(on, F.col(aid).cast("bigint").alias("qid"), F.col(acode).alias("__a"), F.explode(F.expr("sequence(0, __parts - 1)")).alias("__part"))
+        y = b.join(parts, on).select(on, F.col(bid).cast("bigint").alias("bid"), F.col(bcode).alias("__b"), F.pmod(F.xxhash64(bid), F.col("__parts")).cast("int").alias("__part"))
+        return x.join(y, [on, "__part"]).withColumn("score", V.hamming("__a", "__b")).where(F.col("score") <= radius).select("qid", "bid", on, "score")
     n = radius + 1
     cuts = [bits * i // n for i in range(n + 1)]
     band = lambda code: F.array(*[F.struct(F.lit(i).alias("band"), _bits(F.col(code), cuts[i], cuts[i + 1] - cuts[i]).alias("bits")) for i in range(n)])
