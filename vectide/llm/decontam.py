@@ -122,7 +122,7 @@ class _Pieces(dict):
 
 
 #: Pieces a worker keeps at most.
-MOST_PIECES = 1_000_000
+MOST_PIECES = 400_000
 
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EXACT, _SENTENCE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
