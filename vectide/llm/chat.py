@@ -156,8 +156,10 @@ def placed_turns(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
     placed = write_table(turns.select("none", "conv", "role", "text").mapInArrow(run, PLACED), "chat-turns")
     sums = placed.groupBy("none", "conv", "part").agg(F.sum("tokens").alias("n"))
     earlier = Window.partitionBy("none", "conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
-    bases = sums.select("none", "conv", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    return placed.join(bases, ["none", "conv", "part"]).select("none", "conv", (F.col("base") + F.col("before")).alias("start"), "role", "text", "tokens")
+    # turns are in order over the tasks, so only the first conversation of a task can have turns in earlier ones: a row for each task at most
+    bases = sums.select("none", "conv", "part", F.sum("n").over(earlier).alias("base")).where("base > 0")
+    start = F.coalesce("base", F.lit(0)) + F.col("before")
+    return placed.join(F.broadcast(bases), ["none", "conv", "part"], "left").select("none", "conv", start.alias("start"), "role", "text", "tokens")
 
 
 def format_chats(conversations: DataFrame, tokenizer_path: str, budget: int = BUDGET, history: int = HISTORY, target: str = TARGET, system: str = SYSTEM, span: int = SPAN) -> DataFrame:
