@@ -405,6 +405,21 @@ def test_very_many_sentences(spark):
     assert got == {(1, "Proprietary"): 100_001, (2, "Proprietary"): 100_002, (2, "MIT"): 100_002}
 
 
+def test_licenses_without_usual_words(spark):
+    """Rules whose sentences name no license, blanks written otherwise, and sentences among very many marks count as in the SQL."""
+    texts = ["Released under CC BY 4.0.", "It is old.\nDistributed * under\n\tthe MIT.\nx", "This project is RELEASED under MPL 2.0", "This is free and unencumbered software released into the public\ndomain.", "*" * 20_000 + " All rights reserved " + "-" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(r) for r in licenses.scan(docs).collect()}
+    assert {x[:2] for x in got} == {(0, "CC-BY-4.0"), (1, "MIT"), (2, "MPL-2.0"), (3, "Unlicense"), (4, "Proprietary")}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert got == set(c.execute(licenses.sql()).fetchall())
+    book = licenses.Book({}, {"n": ("Free for all.",)}, (("Free", ("n",)),), {})
+    assert licenses.BOOK.anchored() and not book.anchored()
+    assert [r["license"] for r in licenses.scan(spark.createDataFrame([(1, "free, for all")], "doc_id long, text string"), book).collect()] == ["Free"]
+
+
 # --- 6 and 9
 
 

@@ -8,8 +8,9 @@ count where that one holds. A text is cut in two ways, by lines and by sentences
 is matched by itself; a notice on a line of its own is found in either.
 
 All steps are DataFrame expressions. A rule is followed by a state that goes up with each identifier it waits for,
-so time and memory are proportional to the text, however long it is. Texts without any anchor word, one of which
-every rule has, are passed over early. The tables are fixed ones; only hits are shuffled.
+so time and memory are proportional to the text, however long it is. Texts without any anchor are passed over early,
+if the book's rules each have a sentence that can't be written without one; any other book sees all texts. The tables
+are fixed ones; only hits are shuffled.
 
 Defined results: null and empty texts have no licence; rows that repeat whole give one result; a sentence that stands
 twice counts twice; an empty table gives no rows; other columns are ignored.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import literal_table
 from .textlines import row_key
 
-#: Every rule has a sentence with one of these.
-ANCHORS = "(?i)licen[sc]e|copyright|permission|warrant|redistribut|reserved|cc0|gpl|public domain|spdx"
+#: Parts of normal sentences; in a text other characters than letters and digits can stand for the blanks.
+ANCHORS = ("license", "licence", "copyright", "permission", "warrant", "redistribut", "reserved", "cc0", "gpl", "public domain", "licensed under", "released under", "distributed under", "available under")
 SENTENCE_END = r"(?<=[.;:!?])[ \t\r]+|[\r]?\n"
 FLOWING_END = r"(?<=[.;:!?])\s+|\n\s*\n"
 
@@ -171,6 +172,11 @@ class Book:
         base = name.replace(".", "_")
         return list(dict.fromkeys(self._sequence(cut(x), f"{base}-{i}" if own else base) for i, x in enumerate(texts)))
 
+    def anchored(self) -> bool:
+        """Whether each rule has an identifier all of whose sentences hold an anchor."""
+        bare = {k for x, k in self.ids.items() if not any(a in x for a in ANCHORS)}
+        return all(set(ids) - bare for _, ids in self.rules)
+
     def _rule(self, licence: str, ids: tuple[str, ...]) -> None:
         if (licence, ids) not in self.rules:
             self.rules.append((licence, ids))
@@ -200,12 +206,12 @@ def scan(docs: DataFrame, book: Book = BOOK) -> DataFrame:
     """doc_id, license, n_rules (rules of the licence that hold), n_sentences (known sentences in the text)."""
     spark = docs.sparkSession
     known = literal_table(spark, list(book.ids.items()), "sentence id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(ANCHORS))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    if book.anchored():
+        texts = texts.where(F.lower("text").rlike("|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS)))
     cuts = F.array(F.struct(F.lit(0).alias("cut"), F.split("text", SENTENCE_END).alias("parts")), F.struct(F.lit(1).alias("cut"), F.split("text", FLOWING_END).alias("parts")))
     parts = texts.select(row_key("doc_id", "text").alias("key"), "doc_id", F.explode(cuts).alias("c")).select("key", "doc_id", "c.cut", F.posexplode("c.parts").alias("pos", "part"))
-    longest = max(map(len, book.ids), default=0)
-    # a part that is far longer than any known sentence isn't one
-    hits = parts.where(F.length("part") <= 4 * longest).withColumn("sentence", normal(F.col("part"))).join(F.broadcast(known), "sentence")
+    hits = parts.withColumn("sentence", normal(F.col("part"))).join(F.broadcast(known), "sentence")
     order = F.array_sort(F.collect_set(F.struct("pos", "id")))
     texts = hits.groupBy("key", "doc_id", "cut").agg(order.alias("hits")).withColumn("ids", F.transform("hits", lambda x: x["id"]))
     held = texts.select("key", "doc_id", F.size("hits").alias("n"), holding(F.col("ids"), book).alias("held"))
