@@ -282,3 +282,23 @@ def test_kmeans_callback_and_plus_plus(spark, points, monkeypatch):
     small = clustering._plus_plus(df, 5, "id", "v", 3, "l2")
     monkeypatch.setattr(clustering, "SMALL", 0)
     assert np.allclose(small, clustering._plus_plus(df, 5, "id", "v", 3, "l2")) and len(np.unique(small, axis=0)) == 5
+
+
+def test_products_in_blocks_equal_joined_ones(spark):
+    """Nulls, places that are missing or stand twice, infinities, null rows and keys of two types; in several blocks along each side."""
+    rng = np.random.default_rng(5)
+    a = [(i, k, float(rng.standard_normal())) for i in range(40) for k in range(30) if rng.random() < 0.7]
+    a += [(3, 4, 2.0), (3, 4, None), (None, 7, 1.5), (None, None, 9.0), (41, 2, None), (42, 99, 1.0), (5, 6, float("inf"))]
+    b = [(k, f"c{j}", float(rng.standard_normal())) for k in range(30) for j in range(25) if rng.random() < 0.7]
+    b += [(4, "c1", 1.0), (7, None, 2.0), (98, "x", 1.0), (None, "c1", 5.0), (2, "n", None)]
+    left, right = spark.createDataFrame(a, "i long, k int, x double"), spark.createDataFrame(b, "k long, j string, x double")
+    get = lambda **kw: sorted(((r["i"], r["j"], r["x"]) for r in linalg.matmul(left, right, **kw).collect()), key=str)
+    want = get(dense_from=2**62)
+    for kw in ({}, {"side": 9, "depth": 7}, {"depth": 7}):
+        got = get(dense_from=0, **kw)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert [x[2] for x in got] == [pytest.approx(x[2], abs=1e-9) if x[2] is not None else None for x in want]
+    whole = [[(i, k, 1.0 + i * k) for i in range(30) for k in range(20)], [(k, j, 1.0 - j * k) for k in range(20) for j in range(10)]]
+    left, right = spark.createDataFrame(whole[0], "i long, k int, x double"), spark.createDataFrame(whole[1], "k int, j int, x double")
+    assert get(dense_from=0) == get(dense_from=2**62)
+    assert "MapInArrow" in linalg.matmul(left, right, dense_from=0)._jdf.queryExecution().toString()
