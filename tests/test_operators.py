@@ -302,3 +302,17 @@ def test_products_in_blocks_equal_joined_ones(spark):
     left, right = spark.createDataFrame(whole[0], "i long, k int, x double"), spark.createDataFrame(whole[1], "k int, j int, x double")
     assert get(dense_from=0) == get(dense_from=2**62)
     assert "MapInArrow" in linalg.matmul(left, right, dense_from=0)._jdf.queryExecution().toString()
+
+
+def test_gaussian_kernels_far_away_and_in_blocks(spark):
+    """Vectors far from the origin and near each other, with the rows sent in several blocks."""
+    rng = np.random.default_rng(6)
+    for m in (rng.normal(size=(40, 5)), 1e6 + rng.normal(size=(40, 5))):
+        want = np.exp(-((m[:, None] - m[None]) ** 2).sum(2) / (2 * 0.7 * 0.7))
+        assert kernels.gaussian(m, m, 0.7) == pytest.approx(want, abs=1e-12)
+        np.fill_diagonal(want, 0)
+        df = spark.createDataFrame([(3 * i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>")
+        for limit in (2**28, 800):
+            got = clustering.gaussian_kernel(df, 0.7, limit=limit).collect()
+            assert len(got) == 1600 and {(r["aid"], r["bid"]) for r in got} == {(3 * i, 3 * j) for i in range(40) for j in range(40)}
+            assert all(abs(r["x"] - want[r["aid"] // 3, r["bid"] // 3]) < 1e-12 for r in got)
