@@ -316,3 +316,21 @@ def test_gaussian_kernels_far_away_and_in_blocks(spark):
             got = clustering.gaussian_kernel(df, 0.7, limit=limit).collect()
             assert len(got) == 1600 and {(r["aid"], r["bid"]) for r in got} == {(3 * i, 3 * j) for i in range(40) for j in range(40)}
             assert all(abs(r["x"] - want[r["aid"] // 3, r["bid"] // 3]) < 1e-12 for r in got)
+
+
+@pytest.mark.parametrize("kept, spread", [(24, 1.0), (2, 0.3)])
+def test_leading_vectors_in_few_products(spark, monkeypatch, kept, spread):
+    """Eigenvalues near the rest of the spectrum take a dozen or two products with the kernel, not a hundred; spaces that start anew find the same."""
+    rng = np.random.default_rng(7)
+    m = np.eye(12)[np.arange(240) % 3] * (2 if spread < 1 else 0) + spread * rng.normal(size=(240, 12)) / 12**0.5
+    a = np.exp(-((m[:, None] - m[None]) ** 2).sum(2) / (2 * 0.7 * 0.7))
+    np.fill_diagonal(a, 0)
+    s = 1 / np.sqrt(a.sum(1))
+    a = a * s[:, None] * s
+    calls, sums = [], clustering._kernel_sums
+    monkeypatch.setattr(clustering, "_kernel_sums", lambda *x: calls.append(1) or sums(*x))
+    monkeypatch.setattr(clustering, "KEPT", kept)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>")
+    e = np.array([r["e"] for r in clustering._leading(df, 3, 0.7, 0, 2**28, 200, 1e-9).orderBy("id").collect()])
+    assert e.T @ e == pytest.approx(np.eye(3), abs=1e-6) and np.diag(e.T @ a @ e) == pytest.approx(np.linalg.eigvalsh(a)[::-1][:3], abs=1e-6)
+    assert len(calls) <= 25
