@@ -318,6 +318,42 @@ def test_gaussian_kernels_far_away_and_in_blocks(spark):
             assert all(abs(r["x"] - want[r["aid"] // 3, r["bid"] // 3]) < 1e-12 for r in got)
 
 
+def _runs(x):
+    """Runs of equal values, rounded."""
+    return 1 + np.count_nonzero(np.diff(np.round(x, 2)))
+
+
+def test_kernels_hand_on_equal_values_together(spark):
+    """Files then hold them as runs; each pair is there once."""
+    m = np.random.default_rng(8).normal(size=(150, 8)) / 8**0.5
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>")
+    a, b, x = (np.asarray(c.combine_chunks()) for c in clustering.gaussian_kernel(df, 0.7).toArrow().columns)
+    assert len(np.unique(a * 150 + b)) == len(x) == 150**2
+    assert _runs(x) < len(x) / 10
+
+
+def test_tiles_and_order_of_value(monkeypatch):
+    """Every place once, in order, with infinities, zeros and places that aren't there."""
+    monkeypatch.setattr(kernels, "TILE", 12)
+    monkeypatch.setattr(kernels, "WIDE", 5)
+    monkeypatch.setattr(kernels, "PAIRS", 7)
+    for n, m in ((0, 3), (3, 0), (1, 1), (7, 11), (40, 5)):
+        seen = np.zeros((n, m), int)
+        for i, j in kernels.tiles(n, m):
+            assert 0 < (i.stop - i.start) * (j.stop - j.start) <= 12
+            seen[i, j] += 1
+        assert (seen == 1).all()
+    y = np.random.default_rng(1).normal(size=(9, 8))
+    y[2, 3], y[4, 5], y[6] = np.inf, -1e300, 0
+    there = np.arange(72) % 5 > 0
+    for some in (None, there):
+        parts = list(kernels.by_value(y, some))
+        rows, columns, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+        assert max(len(p[0]) for p in parts) <= 7 and (rows * 8 + columns == places).all()
+        assert sorted(places) == np.flatnonzero(np.ones(72) if some is None else some).tolist()
+        assert (np.diff(np.clip(y.ravel()[places], -1e30, 1e30).astype(np.float32)) >= 0).all()
+
+
 @pytest.mark.parametrize("kept, spread", [(24, 1.0), (2, 0.3)])
 def test_leading_vectors_in_few_products(spark, monkeypatch, kept, spread):
     """Eigenvalues near the rest of the spectrum take a dozen or two products with the kernel, not a hundred; spaces that start anew find the same."""
