@@ -332,6 +332,42 @@ def test_kernels_hand_on_equal_values_together(spark):
     assert _runs(x) < len(x) / 10
 
 
+@pytest.mark.parametrize("flags", ["nn", "nt", "tn", "tt"])
+def test_products_shuffle_one_side_once(spark, flags):
+    """A right side that can be sent to all tasks isn't shuffled to each block of the left, and equal values come together; the same in every transposition, and by blocks where it can't."""
+    n = 150
+    m = np.random.default_rng(9).normal(size=(n, 8)) / 8**0.5
+    long = spark.createDataFrame([(i, k, float(x)) for i, r in enumerate(m) for k, x in enumerate(r)], "o long, k int, x double")
+    left = long.toDF(*(("i", "k", "x") if flags[0] == "n" else ("k", "i", "x")))
+    right = long.toDF(*(("j", "k", "x") if flags[1] == "n" else ("k", "j", "x")))
+    get = lambda **kw: linalg.matmul(left, right, transpose_left=flags[0] == "t", transpose_right=flags[1] == "t", dense_from=0, **kw)
+    sent = get()
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    blocks = get(limit=0, side=n // 2, depth=5)
+    assert "Join" in blocks._jdf.queryExecution().executedPlan().toString()
+    for df in (sent, blocks):
+        i, j, x = (np.asarray(c.combine_chunks()) for c in df.toArrow().columns)
+        y = np.full((n, n), np.nan)
+        y[i, j] = x
+        assert len(x) == n * n and np.abs(y - m @ m.T).max() < 1e-12
+        assert df is blocks or _runs(x) < len(x) / 10
+
+
+def test_products_by_blocks_where_the_right_side_is_too_large(spark):
+    """Nulls, places that stand twice and infinities, by blocks that are joined and by blocks that are sent."""
+    rng = np.random.default_rng(5)
+    a = [(i, k, float(rng.standard_normal())) for i in range(40) for k in range(30) if rng.random() < 0.7] + [(3, 4, 2.0), (3, 4, None), (None, 7, 1.5), (41, 2, None), (42, 99, 1.0), (5, 6, float("-inf"))]
+    b = [(k, j, float(rng.standard_normal())) for k in range(30) for j in range(25) if rng.random() < 0.7] + [(4, 1, 1.0), (7, None, 2.0), (98, 77, 1.0), (2, 88, None)]
+    left, right = spark.createDataFrame(a, "i long, k int, x double"), spark.createDataFrame(b, "k long, j long, x double")
+    get = lambda **kw: sorted(((r["i"], r["j"], r["x"]) for r in linalg.matmul(left, right, **kw).collect()), key=str)
+    want = get(dense_from=2**62)
+    for kw in ({}, {"side": 9}, {"limit": 0}, {"limit": 0, "side": 9, "depth": 7}, {"limit": 0, "depth": 7}):
+        got = get(dense_from=0, **kw)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert [x[2] for x in got] == [pytest.approx(x[2], abs=1e-9) if x[2] is not None else None for x in want]
+
+
 def test_tiles_and_order_of_value(monkeypatch):
     """Every place once, in order, with infinities, zeros and places that aren't there."""
     monkeypatch.setattr(kernels, "TILE", 12)
